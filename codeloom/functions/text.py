@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters str.strip()/str.split() and the browser's
@@ -57,6 +57,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    Spark moves conditions below a projection by repeating its expressions in
+    them; a generator of one row is not repeated.
+    """
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
@@ -98,10 +108,8 @@ def suffix(path: Column) -> Column:
 
 def detect_language(text: Column, path: Column) -> Column:
     """Language by file suffix; without a known suffix, by telling substrings."""
-    ext = suffix(path)
-    by_suffix = F.lit(None).cast("string")
-    for language, suffixes in reversed(LANGUAGE_SUFFIXES.items()):
-        by_suffix = F.when(ext.isin(suffixes), language).otherwise(by_suffix)
+    known = F.create_map(*[F.lit(x) for name, exts in LANGUAGE_SUFFIXES.items() for ext in exts for x in (ext, name)])
+    by_suffix = F.try_element_at(known, suffix(path))
     by_content = (
         F.when(text.contains("def ") & text.contains("import "), "python")
         .when(text.contains("function ") & contains_any(text, ["var ", "const "]), "javascript")

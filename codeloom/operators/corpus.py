@@ -19,7 +19,7 @@ def with_code_text(records: DataFrame) -> DataFrame:
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    return files.withColumn("language", tx.detect_language(F.col("text"), F.coalesce(F.col("path"), F.lit(""))))
+    return tx.pinned(files, language=tx.detect_language(F.col("text"), F.coalesce(F.col("path"), F.lit(""))))
 
 
 def syntax_valid(text: Column, when: Column | None = None) -> Column:
@@ -61,7 +61,7 @@ def filter_quality(files: DataFrame, min_quality: float = tx.MIN_QUALITY) -> Dat
     without them and reach it with them are handed to the Python worker.
     """
     text = F.col("text")
-    flagged = files.withColumn("_flags", tx.flag_points(text))
+    flagged = tx.pinned(files, _flags=tx.flag_points(text))
     without = tx.quality_score(tx.quality_points(F.col("_flags"), F.lit(False))) >= min_quality
     with_parse = tx.quality_score(tx.quality_points(F.col("_flags"), F.lit(True))) >= min_quality
     candidates = flagged.filter(without | (with_parse & tx.may_be_python(text)))
