@@ -58,13 +58,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once per row.
+    """Adds or replaces columns, each computed once per row.
 
     Spark moves conditions below a projection by repeating its expressions in
     them; a generator of one row is not repeated.
     """
     values = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline(F.array(values)))
+    return df.select(*[name for name in df.columns if name not in columns], F.inline(F.array(values)))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -55,17 +55,19 @@ def knn_l2_topk(spark, sf_dir):
     return near.select("query_key", "key", "rank", F.round("score", 6).alias("score"))
 
 
-def index(spark, sf_dir):
-    """Line chunks of all documents with their vectors, as a written index."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
-    pieces = sg.explode_pieces(documents, "chunks", "doc_id")
-    keyed = pieces.select(
+def keyed_chunks(pieces):
+    return pieces.select(
         F.concat_ws(":", "doc_id", "start").alias("key"),
         "text",
         tables.metadata(F.col("type"), F.col("name"), F.col("start"), F.col("end"), F.col("doc_id").cast("string")).alias("metadata"),
     )
+
+
+def index(spark, sf_dir):
+    """Line chunks of all documents with their vectors, as a written index."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
     path = shared_dir(spark, "index")
-    tables.write_index(rt.embed_text(keyed, dims=DIMS), path)
+    tables.write_index(rt.embed_text(keyed_chunks(sg.explode_pieces(documents, "chunks", "doc_id")), dims=DIMS), path)
     return tables.read_index(spark, path)
 
 

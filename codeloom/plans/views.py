@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import pinned
 
-NL = "chr(10)"
-
 # Code files made from every document: the template depends on the id, every
 # third path is blank so that language detection has to look at the content.
 CODE_PATH = """CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('src/f_', CAST(doc_id AS string),
@@ -31,12 +29,16 @@ CODE_TEXT = """CASE CAST(doc_id % 8 AS int)
 
 CODE_FILES_SQL = f"SELECT doc_id, lang AS natural_lang, source, {CODE_PATH} AS path, {CODE_TEXT} AS text FROM documents"
 
-# Requests and replies made from every event: one request per event, a reply
-# ``k`` times 300 ms later unless ``k`` ends in 0, and a stray reply for errors.
-REQUESTS_SQL = """SELECT event_id, user_id, ts,
-    CASE WHEN event_type IN ('view', 'click') THEN 'completion_request' ELSE 'chat_request' END AS type,
-    concat('req_', CAST(event_id AS string)) AS request_id
-  FROM events"""
+# Requests and replies made from every event. A request gets a reply ``k`` times
+# 300 ms later unless ``k`` ends in 0; every seventh ``k`` an error; an event of
+# type error also brings a reply that nobody asked for.
+K_SQL = "CAST(regexp_extract(props, '[0-9]+', 0) AS int)"
+REQUEST_TYPE = "CASE WHEN event_type IN ('view', 'click') THEN 'completion_request' ELSE 'chat_request' END"
+REPLY_TYPE = f"CASE WHEN {K_SQL} % 7 = 0 THEN 'error' WHEN event_type IN ('view', 'click') THEN 'completion_response' ELSE 'chat_response' END"
+REQUESTS_SQL = f"SELECT event_id, user_id, ts, {REQUEST_TYPE} AS type, concat('req_', event_id) AS request_id FROM events"
+REPLIES_SQL = f"""SELECT event_id AS reply_id, ts + to_milliseconds({K_SQL} * 300) AS ts, concat('req_', event_id) AS request_id, {REPLY_TYPE} AS type
+    FROM events WHERE {K_SQL} % 10 <> 0
+    UNION ALL SELECT -1 - event_id, ts, concat('gone_', event_id), 'error' FROM events WHERE event_type = 'error'"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,39 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.drop("_raw")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_instants(table(spark, sf_dir, "events"))
+
+
+def as_instants(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def as_requests(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "event_id", "user_id", "ts", f"{REQUEST_TYPE} AS type", "concat('req_', CAST(event_id AS string)) AS request_id"
+    )
+
+
+def as_replies(rows: DataFrame) -> DataFrame:
+    """One or two rows per event, made in one pass over the events."""
+    k = "CAST(get_json_object(props, '$.k') AS int)"
+    reply = f"""named_struct('reply_id', event_id, 'ts', ts + {k} * INTERVAL '0.3' SECOND,
+        'request_id', concat('req_', CAST(event_id AS string)), 'type', {REPLY_TYPE})"""
+    stray = """named_struct('reply_id', -1 - event_id, 'ts', ts,
+        'request_id', concat('gone_', CAST(event_id AS string)), 'type', 'error')"""
+    either = f"array(CASE WHEN {k} % 10 <> 0 THEN {reply} END, CASE WHEN event_type = 'error' THEN {stray} END)"
+    return rows.selectExpr(f"inline(filter({either}, r -> r IS NOT NULL))")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_requests(events(spark, sf_dir))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_replies(events(spark, sf_dir))
+
+
 def md5_list(array) -> "F.Column":
     """Digest of an array's items, to compare long arrays by one value."""
     return F.md5(F.array_join(array, ","))

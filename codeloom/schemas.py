@@ -2,18 +2,6 @@
 
 from pyspark.sql import types as T
 
-RAW_RECORD = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("code", T.StringType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("license", T.StringType()),
-        T.StructField("_corrupt_record", T.StringType()),
-    ]
-)
-
 SEGMENT = "array<struct<type:string,name:string,code:string,start_line:int,end_line:int>>"
 CHUNK = "array<struct<text:string,type:string,name:string,start:int,end:int>>"
 
@@ -55,3 +43,13 @@ EVENT = T.StructType(
         T.StructField("props", T.StringType()),
     ]
 )
+
+DOCUMENT = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+    ]
+)

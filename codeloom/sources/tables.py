@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("key", "text", "metadata", "embedding")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was already written to the path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def grow_index(chunks: DataFrame, path: str) -> None:
     """Appends the chunks whose key the index does not hold yet."""
     held = read_index(chunks.sparkSession, path).select("key")
