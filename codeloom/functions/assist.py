@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,12 +158,22 @@ def clean_suggestion(suggestion: Column, strict_compat: bool = False) -> Column:
     The known client tests the bare fence first, so its language tags hardly
     ever match and stay in the text; ``strict_compat`` keeps that.
     """
-    tagged = [FENCE + tag for tag in FENCE_TAGS]
-    prefixes = [FENCE, *tagged] if strict_compat else [f"{FENCE}(?:{'|'.join(FENCE_TAGS)})?"]
-    text = tx.strip(suggestion, tx.BLANK_JS)
-    for mark in [*(rf"\A{prefix}" for prefix in prefixes), rf"{FENCE}\z"]:
-        text = tx.strip(F.regexp_replace(text, mark, ""), tx.BLANK_JS)
-    return text
+    def without(text: Column, mark: str, at_end: bool = False) -> Column:
+        rest = F.left(text, F.length(text) - len(mark)) if at_end else F.substring(text, F.lit(len(mark) + 1), F.length(text))
+        found = F.endswith(text, F.lit(mark)) if at_end else F.startswith(text, F.lit(mark))
+        return F.when(found, tx.strip(rest, tx.BLANK_JS)).otherwise(text)
+
+    def opened(text: Column) -> Column:
+        tagged = [FENCE + tag for tag in FENCE_TAGS]
+        if not strict_compat:
+            bare = without(text, FENCE)
+            for mark in tagged:
+                bare = F.when(F.startswith(text, F.lit(mark)), without(text, mark)).otherwise(bare)
+            return bare
+        return reduce(lambda t, mark: tx.let(t, lambda bound: without(bound, mark)), [FENCE, *tagged], text)
+
+    cleaned = tx.let(tx.strip(suggestion, tx.BLANK_JS), opened)
+    return tx.let(cleaned, lambda text: without(text, FENCE, at_end=True))
 
 
 def rank_confidence(rank: Column, kind: str) -> Column:

@@ -14,8 +14,8 @@ _BLANK_COMMON = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x2
 BLANK = _BLANK_COMMON + "\x1c\x1d\x1e\x1f\x85"
 BLANK_JS = _BLANK_COMMON + "\ufeff"
 BLANK_CLASS = f"[{BLANK}]"
-NON_BLANK_RUN = f"[^{BLANK}]+"
 BLANK_JS_CLASS = f"[{BLANK_JS}]"
+RARE_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
@@ -33,13 +33,11 @@ LANGUAGE_SUFFIXES = {
     "ruby": [".rb"],
 }
 
-# Quality patterns, "." written out so that it spans lines.
-QUALITY_PATTERNS = {
-    "has_function": r"(def |function |class |public |private |protected )",
-    "has_docstring": r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|//|/\*[\s\S]*?\*/)",
-    "has_imports": r"(import |from |#include |require\(|use )",
-    "minimal_complexity": r"[{}();]",
-}
+# What the quality flags look for.
+FUNCTION_WORDS = ["def ", "function ", "class ", "public ", "private ", "protected "]
+IMPORT_WORDS = ["import ", "from ", "#include ", "require(", "use "]
+SYNTAX_MARKS = ["{", "}", "(", ")", ";"]
+QUALITY_FLAGS = ["has_function", "has_docstring", "has_imports", "minimal_complexity"]
 
 # Words a file of the language must hold at least one of.
 LANGUAGE_KEYWORDS = {
@@ -75,9 +73,10 @@ def strip(text: Column, blanks: str = BLANK) -> Column:
     return F.btrim(text, F.lit(blanks))
 
 
-def word_count(text: Column) -> Column:
-    """Number of blank-separated words."""
-    return F.regexp_count(text, F.lit(NON_BLANK_RUN))
+def more_words_than(text: Column, n: int) -> Column:
+    """Whether the text has more than ``n`` blank-separated words; looks no further."""
+    blank, word = f"{BLANK_CLASS}", f"[^{BLANK}]"
+    return text.rlike(rf"\A{blank}*+(?:{word}++{blank}++){{{n}}}{word}")
 
 
 def lines(text: Column) -> Column:
@@ -87,9 +86,9 @@ def lines(text: Column) -> Column:
 
 def physical_lines(text: Column) -> Column:
     """Lines as ``splitlines`` gives them: every break counts, no empty last line."""
+    parts = F.when(contains_any(text, RARE_BREAKS), F.split(text, LINE_BREAK, -1)).otherwise(lines(text))
     return let(
-        F.split(text, LINE_BREAK, -1),
-        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
+        parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
     )
 
 
@@ -128,8 +127,26 @@ def avg_line_length(text: Column) -> Column:
     return F.length(text) / line_count(text)
 
 
+def _twice(text: Column, mark: str) -> Column:
+    """Two separate occurrences of the mark."""
+    left = F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    return text.contains(mark) & (left >= 2 * len(mark))
+
+
 def quality_flags(text: Column) -> dict[str, Column]:
-    return {name: text.rlike(pattern) for name, pattern in QUALITY_PATTERNS.items()}
+    """Flags by substring search, which is several times faster than one pattern.
+
+    A docstring is a closed triple-quoted text, a closed block comment, or
+    anything after two slashes.
+    """
+    opened = F.locate("/*", text)
+    block = (opened > 0) & (F.position(F.lit("*/"), text, opened + 2) > 0)
+    return {
+        "has_function": contains_any(text, FUNCTION_WORDS),
+        "has_docstring": text.contains("//") | block | _twice(text, '"""') | _twice(text, "'''"),
+        "has_imports": contains_any(text, IMPORT_WORDS),
+        "minimal_complexity": contains_any(text, SYNTAX_MARKS),
+    }
 
 
 def flag_points(text: Column) -> Column:
@@ -147,7 +164,7 @@ def quality_points(flags: Column, valid: Column) -> Column:
 
 
 def quality_score(points: Column) -> Column:
-    return points / F.lit(float(len(QUALITY_PATTERNS) + 2))
+    return points / F.lit(float(len(QUALITY_FLAGS) + 2))
 
 
 def language_keywords_ok(text: Column, language: Column) -> Column:

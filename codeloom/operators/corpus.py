@@ -42,7 +42,7 @@ def with_quality(files: DataFrame) -> DataFrame:
         *[flag.alias(name) for name, flag in tx.quality_flags(text).items()],
         syntax_valid(text).alias("valid_syntax"),
     )
-    flags = reduce(lambda a, b: a + b, [F.col(name).cast("int") for name in tx.QUALITY_PATTERNS])
+    flags = reduce(lambda a, b: a + b, [F.col(name).cast("int") for name in tx.QUALITY_FLAGS])
     points = tx.quality_points(flags, F.col("valid_syntax"))
     return scored.withColumn("points", points).withColumn("quality_score", tx.quality_score(F.col("points")))
 

@@ -176,7 +176,7 @@ def markdown_chunks(text: Column) -> Column:
         return F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.split(F.element_at(found, -1), "\n\n", -1))
 
     cut = F.transform(tx.let(tx.let(tx.lines(text), sections), pieces), lambda p: tx.strip(p))
-    long = F.filter(cut, lambda p: tx.word_count(p) > MIN_DOC_WORDS)
+    long = F.filter(cut, lambda p: tx.more_words_than(p, MIN_DOC_WORDS))
     null = F.lit(None)
     return F.transform(long, lambda p: _chunk(p, F.lit("doc"), null, null, null)).cast(CHUNK)
 
@@ -196,7 +196,7 @@ def line_chunks(text: Column, window: int = 20, overlap: int = 5) -> Column:
         )
 
     chunks = tx.let(tx.physical_lines(text), windows)
-    return F.filter(chunks, lambda c: tx.word_count(c["text"]) > MIN_CODE_WORDS).cast(CHUNK)
+    return F.filter(chunks, lambda c: tx.more_words_than(c["text"], MIN_CODE_WORDS)).cast(CHUNK)
 
 
 def python_chunks(text: Column, defs: Column) -> Column:
@@ -210,7 +210,7 @@ def python_chunks(text: Column, defs: Column) -> Column:
             ),
         )
 
-    chunks = F.filter(tx.let(tx.physical_lines(text), cut), lambda c: tx.word_count(c["text"]) > MIN_CODE_WORDS)
+    chunks = F.filter(tx.let(tx.physical_lines(text), cut), lambda c: tx.more_words_than(c["text"], MIN_CODE_WORDS))
     return F.coalesce(chunks, F.array()).cast(CHUNK)
 
 

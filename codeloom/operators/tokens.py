@@ -18,7 +18,7 @@ TRAINING_CODE_TOKENS = CODE_TOKENS + ["<|variable|>", "<|import|>", "<|return|>"
 MAX_LENGTH = 512
 
 # A word, or any other visible character; markers stay whole.
-TOKEN = "<\\|[a-z]+\\|>|[0-9A-Za-z_]+|[^0-9A-Za-z_\t\n\x0b\x0c\r ]"
+TOKEN = r"<\|[a-z]+\|>|\w+|[^\w\s]"
 HOT_TOKENS = 1024
 HOT_LANES = 4096
 

@@ -9,7 +9,7 @@ from codeloom.operators import segments as sg
 from codeloom.plans.registry import query
 from codeloom.plans.segments import windows_sql
 from codeloom.plans.tokens import tokens_sql
-from codeloom.plans.views import table
+from codeloom.plans.views import documents, table
 from codeloom.session import shared_dir
 from codeloom.sources import tables
 
@@ -39,7 +39,7 @@ def nearest_sql(vectors: str, queries: str, k: int) -> str:
       SELECT key, v, unnest(range({DIMS})) AS d FROM {vectors_sql('documents', 'doc_id')}) WHERE v[d + 1] <> 0"""
 )
 def embed_text(spark, sf_dir):
-    vectors = rt.embed_text(table(spark, sf_dir, "documents"), dims=DIMS)
+    vectors = rt.embed_text(documents(spark, sf_dir), dims=DIMS)
     values = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0")
     return values.select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("value"))
 
@@ -65,9 +65,9 @@ def keyed_chunks(pieces):
 
 def index(spark, sf_dir):
     """Line chunks of all documents with their vectors, as a written index."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
+    chunked = documents(spark, sf_dir).select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
     path = shared_dir(spark, "index")
-    tables.write_index(rt.embed_text(keyed_chunks(sg.explode_pieces(documents, "chunks", "doc_id")), dims=DIMS), path)
+    tables.write_index(rt.embed_text(keyed_chunks(sg.explode_pieces(chunked, "chunks", "doc_id")), dims=DIMS), path)
     return tables.read_index(spark, path)
 
 

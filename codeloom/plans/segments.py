@@ -8,13 +8,13 @@ from codeloom.functions import text as tx
 from codeloom.operators import segments as sg
 from codeloom.plans.corpus import FILES_CTE, files
 from codeloom.plans.registry import query
-from codeloom.plans.views import code_files, table
+from codeloom.plans.views import code_files, documents
 
 LINES = "string_split(text, chr(10))"
 
 
 def words_sql(text: str) -> str:
-    return f"len(regexp_extract_all({text}, '{tx.NON_BLANK_RUN}'))"
+    return f"len(regexp_extract_all({text}, '[^{tx.BLANK}]+'))"
 
 
 # Files cut by line numbers: needs a relation ``cuts(doc_id, text, type, name, s, e, piece)``.
@@ -121,7 +121,7 @@ def windows_sql(relation: str) -> str:
       FROM ({windows_sql('documents')})"""
 )
 def chunk_lines(spark, sf_dir):
-    chunked = table(spark, sf_dir, "documents").select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
+    chunked = documents(spark, sf_dir).select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
     pieces = sg.explode_pieces(chunked, "chunks", "doc_id")
     return pieces.select("doc_id", "piece", "start", "end", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 

@@ -118,8 +118,11 @@ def stream_index_append(spark, sf_dir):
 
     def to_chunks(batch: DataFrame) -> DataFrame:
         pieces = batch.select("doc_id", sg.line_chunks(F.col("text")).alias("chunks"))
-        return rt.embed_text(keyed_chunks(sg.explode_pieces(pieces, "chunks", "doc_id")), dims=DIMS)
+        return keyed_chunks(sg.explode_pieces(pieces, "chunks", "doc_id"))
+
+    def embed(chunks: DataFrame) -> DataFrame:
+        return rt.embed_text(chunks, dims=DIMS)
 
     for _ in range(2):
-        grown = ms.stream_index(file_stream(spark, sf_dir, "documents", DOCUMENT), to_chunks, path)
+        grown = ms.stream_index(file_stream(spark, sf_dir, "documents", DOCUMENT), to_chunks, embed, path)
     return grown.select("key", F.length("text").alias("n_chars"), F.size("embedding").alias("dims"))

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import tokens as tk
 from codeloom.plans.registry import query
-from codeloom.plans.views import md5_list, table
+from codeloom.plans.views import documents, md5_list
 from codeloom.sources.tables import saved
 
 EXTRA = [*tk.SPECIAL_TOKENS, *tk.CODE_TOKENS]
 
 
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, '{tk.TOKEN}')"
+    return f"regexp_extract_all({text}, '<\\|[a-z]+\\|>|[0-9A-Za-z_]+|[^0-9A-Za-z_\t\n\x0b\x0c\r ]')"
 
 
 VOCABULARY_CTE = f"""WITH counted AS (SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token),
@@ -32,17 +32,17 @@ ENCODED_CTE = f"""{VOCABULARY_CTE},
 
 
 def vocabulary(spark, sf_dir):
-    return saved(tk.build_vocabulary(table(spark, sf_dir, "documents")), "vocabulary")
+    return saved(tk.build_vocabulary(documents(spark, sf_dir)), "vocabulary")
 
 
 def encoded(spark, sf_dir):
     words = vocabulary(spark, sf_dir)
-    return tk.encode(table(spark, sf_dir, "documents"), words, "doc_id"), words
+    return tk.encode(documents(spark, sf_dir), words, "doc_id"), words
 
 
 @query(f"{VOCABULARY_CTE} SELECT token, n, token_id FROM vocabulary")
 def build_vocab(spark, sf_dir):
-    return tk.build_vocabulary(table(spark, sf_dir, "documents"))
+    return tk.build_vocabulary(documents(spark, sf_dir))
 
 
 @query(f"{ENCODED_CTE} SELECT doc_id, token_count, truncated, md5(array_to_string(ids, ',')) AS digest FROM encoded")

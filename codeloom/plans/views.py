@@ -45,9 +45,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table, ready for work that costs much per byte of text.
+
+    A file with one row group is read by one task. Where the scan has fewer
+    tasks than the cluster has cores, the rows are spread over the cores; a
+    large table is left as it is scanned.
+    """
+    scanned = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if scanned.select("doc_id").rdd.getNumPartitions() < cores:
+        return scanned.repartition(cores, "doc_id")
+    return scanned
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    made = pinned(documents.select("doc_id", F.col("lang").alias("natural_lang"), "source", F.col("text").alias("_raw")),
+    made = pinned(documents(spark, sf_dir).select("doc_id", F.col("lang").alias("natural_lang"), "source", F.col("text").alias("_raw")),
                   path=F.expr(CODE_PATH), text=F.expr(CODE_TEXT.replace("text", "_raw")))
     return made.drop("_raw")
 

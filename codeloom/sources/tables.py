@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,10 +56,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def grow_index(chunks: DataFrame, path: str) -> None:
-    """Appends the chunks whose key the index does not hold yet."""
-    held = read_index(chunks.sparkSession, path).select("key")
-    write_index(chunks.dropDuplicates(["key"]).join(held, "key", "left_anti"), path, "append")
+def grow_index(
+    spark: SparkSession, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str
+) -> None:
+    """Embeds and appends the chunks whose key the index does not hold yet."""
+    new = chunks.dropDuplicates(["key"])
+    if exists(spark, path):
+        new = new.join(read_index(spark, path).select("key"), "key", "left_anti")
+    write_index(embed(new), path, "append")
 
 
 def metadata(kind: Column, name: Column, start: Column, end: Column, file: Column) -> Column:

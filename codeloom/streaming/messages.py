@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as tx
 from codeloom.operators.assist import in_time
 from codeloom.schemas import COMPLETION_REQUEST
 from codeloom.session import shared_dir
@@ -49,9 +50,7 @@ def route(messages: DataFrame, raw: str = "raw") -> DataFrame:
 
     Routes: completion, chat, pong, error (unknown type), malformed.
     """
-    parsed = messages.withColumn("_m", F.from_json(raw, COMPLETION_REQUEST)).withColumn(
-        "_ok", F.try_parse_json(raw).isNotNull()
-    )
+    parsed = tx.pinned(messages, _m=F.from_json(raw, COMPLETION_REQUEST), _ok=F.try_parse_json(raw).isNotNull())
     kind = F.col("_m.type")
     to = (
         F.when(~F.col("_ok"), "malformed")
@@ -139,16 +138,17 @@ def reconnect_delay_ms(attempt: Column) -> Column:
     return F.when(attempt < RECONNECT_ATTEMPTS, delay.cast("bigint"))
 
 
-def stream_index(stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Chunks and embeds arriving texts into an index; a replayed batch adds nothing."""
+def stream_index(
+    stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], path: str
+) -> DataFrame:
+    """Chunks arriving texts, and embeds and appends the chunks the index lacks.
+
+    A batch that is replayed after a failure finds its chunks in the index.
+    """
     spark: SparkSession = stream.sparkSession
 
     def append(batch: DataFrame, _: int) -> None:
-        chunks = to_chunks(batch)
-        if tables.exists(spark, path):
-            tables.grow_index(chunks, path)
-        else:
-            tables.write_index(chunks.dropDuplicates(["key"]), path)
+        tables.grow_index(spark, to_chunks(batch), embed, path)
 
     drain_batches(stream, "index-stream", append)
     return tables.read_index(spark, path)
