@@ -65,6 +65,16 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[name for name in df.columns if name not in columns], F.inline(F.array(values)))
 
 
+def unnest(df: DataFrame, array: Column, *keep: Column | str, pos: str = "pos", item: str = "item") -> DataFrame:
+    """One row per array item with its 0-based place; empty arrays give none.
+
+    A plain explode makes Spark test the size of the array first, which means
+    computing the array twice; the outer form with a test on the place does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 

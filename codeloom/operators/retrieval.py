@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.text import pinned
 from codeloom.operators.ranking import first_n
 from codeloom.operators.tokens import tokens
 from codeloom.session import fits
@@ -46,7 +47,7 @@ def embed_text(texts: DataFrame, text: str = "text", dims: int = 64, model: Call
     hashed to ``dims`` buckets and the counts scaled to unit length.
     """
     vector = model(F.col(text)) if model else unit_vectors(dims)(hash_buckets(F.col(text), dims))
-    return texts.withColumn("embedding", vector)
+    return pinned(texts, embedding=vector)
 
 
 def _packed(vectors: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
@@ -113,13 +114,11 @@ def nearest(
     """
     packs = _packed(vectors, key, vector, "v")
     blocks = _packed(queries, query_key, vector, "q")
-    if fits(queries.select(query_key), broadcast_queries):
-        met = packs.withColumn("lane", F.lit(0)).join(F.broadcast(blocks.withColumn("lane", F.lit(0))), "lane")
-    else:
-        lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = packs.withColumn("lane", F.pmod(F.hash("v_keys"), F.lit(lanes)))
-        copied = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        met = dealt.join(copied.hint("shuffle_hash"), "lane")
+    few = fits(queries.select(query_key), broadcast_queries)
+    lanes = 1 if few else int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packs.withColumn("lane", F.pmod(F.hash("v_keys"), F.lit(lanes)))
+    copied = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    met = dealt.join(F.broadcast(copied) if few else copied.hint("shuffle_hash"), "lane")
     schema = T.StructType(
         [
             T.StructField("query_key", queries.schema[query_key].dataType),
@@ -131,9 +130,19 @@ def nearest(
     return first_n(near, ["query_key"], [F.col("score"), F.col("key")], k)
 
 
-def hits(near: DataFrame, chunks: DataFrame, key: str = "key") -> DataFrame:
-    """Adds text and metadata of the chunks found; keys without a chunk drop out."""
-    return near.join(chunks, key)
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, k: int = 5, key: str = "key", query_key: str = "query_key",
+    broadcast_queries: int = BROADCAST_QUERIES,
+) -> DataFrame:
+    """Text and metadata of the ``k`` chunks nearest to every query, with score and rank.
+
+    A key without a chunk drops out. With few queries the hits, ``k`` per query,
+    go to the chunk table, which is then not shuffled.
+    """
+    near = nearest(chunks, queries, k, key, query_key, broadcast_queries=broadcast_queries)
+    if fits(queries.select(query_key), broadcast_queries):
+        near = F.broadcast(near)
+    return chunks.drop("embedding").withColumnRenamed(key, "key").join(near, "key")
 
 
 def assemble_context(found: DataFrame, queries: DataFrame, query_key: str = "query_key", code: str = "code") -> DataFrame:

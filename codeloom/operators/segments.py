@@ -123,7 +123,7 @@ def python_file_segments(files: DataFrame) -> DataFrame:
 
 def explode_pieces(df: DataFrame, pieces: str, *keys: str) -> DataFrame:
     """One row per piece with its 0-based place in the file."""
-    return df.select(*keys, F.posexplode(pieces).alias("piece", "_p")).select(*keys, "piece", "_p.*")
+    return tx.unnest(df, F.col(pieces), *keys, pos="piece", item="_p").select(*keys, "piece", "_p.*")
 
 
 def _chunk(text: Column, kind: Column, name: Column, start: Column, end: Column) -> Column:
@@ -268,9 +268,8 @@ def lint_lines(files: DataFrame, *keys: str) -> DataFrame:
     """One row per finding: line, width, level (0 error .. 3 hint), message, rule."""
     language, line = F.col("language"), F.col("_line")
     family = {"python": language == "python", "js": language.isin("javascript", "typescript")}
-    per_line = files.filter(family["python"] | family["js"]).select(
-        *keys, "language", F.posexplode(tx.lines(F.col("text"))).alias("line", "_line")
-    )
+    checked = files.filter(family["python"] | family["js"])
+    per_line = tx.unnest(checked, tx.lines(F.col("text")), *keys, "language", pos="line", item="_line")
     hits = _lint_hits(line)
     findings = F.array(
         *[
@@ -284,7 +283,6 @@ def lint_lines(files: DataFrame, *keys: str) -> DataFrame:
             for i, (lang, code, level, message) in enumerate(LINT_RULES)
         ]
     )
-    found = per_line.select(
-        *keys, "line", F.length(line).alias("width"), F.filter(findings, lambda f: f.isNotNull()).alias("_found")
-    )
-    return found.select(*keys, "line", "width", F.inline("_found"))
+    width = F.length(line).alias("width")
+    found = tx.unnest(per_line, findings, *keys, "line", width, item="_found").filter(F.col("_found").isNotNull())
+    return found.select(*keys, "line", "width", "_found.*")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as tx
 from codeloom.operators.ranking import dense_ids
+from codeloom.sources.tables import saved
 
 # Markers, special tokens and lengths.
 START, END = "<|code|>", "<|endoftext|>"
@@ -33,8 +35,8 @@ def tokens(text: Column) -> Column:
 
 def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Occurrences of every token; counted in the map tasks before the shuffle."""
-    exploded = texts.select(F.explode(tokens(F.col(text))).alias("token"))
-    return exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    single = tx.unnest(texts, tokens(F.col(text)), item="token")
+    return single.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def extend_vocabulary(vocabulary: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -56,8 +58,13 @@ def extend_vocabulary(vocabulary: DataFrame, extra: Sequence[str]) -> DataFrame:
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text", extra: Sequence[str] = (*SPECIAL_TOKENS, *CODE_TOKENS)) -> DataFrame:
-    """Tokens of a corpus, most frequent first, and the special tokens after them."""
-    return extend_vocabulary(dense_ids(token_counts(texts, text), "token", "n", "token_id"), extra)
+    """Tokens of a corpus, most frequent first, and the special tokens after them.
+
+    The counts are used by several branches, so they are written once and the
+    texts are read once.
+    """
+    counts = saved(token_counts(texts, text), "token-counts")
+    return extend_vocabulary(saved(dense_ids(counts, "token", "n", "token_id"), "token-ids"), extra)
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
@@ -67,10 +74,9 @@ def encode(texts: DataFrame, vocabulary: DataFrame, key: str, text: str = "text"
     frequent tokens are a broadcast table of fixed size; only rarer ones take
     part in the join on the token, so no join task gets a frequent token.
     """
-    found = texts.select(key, tokens(marked(F.col(text))).alias("_all")).select(
-        key, (F.size("_all") > max_length).alias("truncated"), F.slice("_all", 1, max_length).alias("_tokens")
-    )
-    single = found.select(key, "truncated", F.posexplode("_tokens").alias("_pos", "token"))
+    found = tx.pinned(texts.select(key, F.col(text).alias("_text")), _all=tokens(marked(F.col("_text"))))
+    truncated = (F.size("_all") > max_length).alias("truncated")
+    single = tx.unnest(found, F.slice("_all", 1, max_length), key, truncated, pos="_pos", item="token")
 
     ids = vocabulary.select("token", "token_id")
     special = F.col("token").isin(SPECIAL_TOKENS + TRAINING_CODE_TOKENS)

@@ -124,7 +124,7 @@ def clean_suggestion(spark, sf_dir):
       FROM (SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS rank FROM conversations)"""
 )
 def rank_confidence(spark, sf_dir):
-    ranks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tx.lines(F.col("text"))).alias("rank", "line"))
+    ranks = tx.unnest(table(spark, sf_dir, "conversations"), tx.lines(F.col("text")), "conv_id", "turn", pos="rank")
     return ranks.select("conv_id", "turn", "rank", *[F.round(fa.rank_confidence(F.col("rank"), k), 6).alias(k) for k in fa.CONFIDENCE_STEPS])
 
 
@@ -190,7 +190,7 @@ def _odd_sql(mark: str) -> str:
 )
 def should_trigger(spark, sf_dir):
     """Every line of every file, with the cursor at a column that depends on the file."""
-    lined = files(spark, sf_dir).select("doc_id", "language", F.posexplode(tx.lines(F.col("text"))).alias("line", "t"))
+    lined = tx.unnest(files(spark, sf_dir), tx.lines(F.col("text")), "doc_id", "language", pos="line", item="t")
     column = (F.col("doc_id") % 23).cast("int")
     return lined.select("doc_id", "line", fa.should_trigger(F.col("t"), F.col("line"), column, F.col("language")).alias("trigger"))
 
@@ -215,7 +215,7 @@ def rank_suggestions(spark, sf_dir):
         lambda _, i: ((F.col("conv_id") * 7 + F.col("turn") * 3 + i * 11) % 100).cast("double") / 100,
     )
     shown = turns.select("conv_id", "turn", suggestions.alias("s"), scores.alias("c"))
-    ranked = shown.select("conv_id", "turn", F.posexplode(assist.ranked_suggestions(F.col("s"), F.col("c"))).alias("place", "r"))
+    ranked = tx.unnest(shown, assist.ranked_suggestions(F.col("s"), F.col("c")), "conv_id", "turn", pos="place", item="r")
     return ranked.select("conv_id", "turn", "place", F.md5("r.text").alias("digest"), F.round("r.confidence", 6).alias("confidence"), "r.title")
 
 
@@ -263,7 +263,7 @@ def candidates_by_context(spark, sf_dir):
     """Three stock completions per file, with the cursor on its first line."""
     first_line = F.substring_index("text", "\n", 1)
     picked = assist.candidates(first_line, F.col("language"), F.col("doc_id"))
-    return files(spark, sf_dir).select("doc_id", F.posexplode(picked).alias("place", "candidate"))
+    return tx.unnest(files(spark, sf_dir), picked, "doc_id", pos="place", item="candidate")
 
 
 @query(
@@ -279,7 +279,7 @@ def diagnostic_at_position(spark, sf_dir):
         "doc_id", F.col("line").alias("start_line"), F.lit(0).alias("start_column"), F.col("line").alias("end_line"),
         F.col("width").alias("end_column"), "rule_no", "code", "severity", "message",
     )
-    cursors = code.select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line", "_t")).select(
+    cursors = tx.unnest(code, tx.lines(F.col("text")), "doc_id", pos="line").select(
         "doc_id", F.col("line").alias("position_id"), "line", (F.col("doc_id") % 20).cast("int").alias("column")
     )
     return assist.findings_at(cursors, findings, "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as tx
 from codeloom.operators import retrieval as rt
 from codeloom.operators import segments as sg
 from codeloom.plans.registry import query
@@ -40,7 +41,7 @@ def nearest_sql(vectors: str, queries: str, k: int) -> str:
 )
 def embed_text(spark, sf_dir):
     vectors = rt.embed_text(documents(spark, sf_dir), dims=DIMS)
-    values = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0")
+    values = tx.unnest(vectors, F.col("embedding"), "doc_id", pos="dim", item="x").filter("x <> 0")
     return values.select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
@@ -74,7 +75,7 @@ def index(spark, sf_dir):
 def search(spark, sf_dir):
     chunks = index(spark, sf_dir)
     queries = rt.embed_text(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_key"), "text"), dims=DIMS)
-    return rt.hits(rt.nearest(chunks, queries, k=K), chunks.drop("embedding"))
+    return rt.retrieve(chunks, queries, k=K)
 
 
 FOUND_CTE = f"""WITH chunks AS (SELECT concat(doc_id, ':', s) AS key, doc_id, s, t AS text FROM ({windows_sql('documents')})),
