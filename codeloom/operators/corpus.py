@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from codeloom.functions import text as tx
 from codeloom.functions.python_source import parses
 from codeloom.operators.ranking import first_n
+from codeloom.sources.tables import saved
 
 
 def with_code_text(records: DataFrame) -> DataFrame:
@@ -91,7 +92,8 @@ def limited_per_source(rows: DataFrame, source: str, order: str, limit: int, kee
     the running total over one row per source, so no global sort of rows.
     """
     read = first_n(rows, [source], [F.col(order)], limit, "_line").drop("_line").filter(keep)
-    kept = first_n(read, [source], [F.col(order)], limit, "_place")
+    # At most ``limit`` rows per source; written so that the input is read once.
+    kept = saved(first_n(read, [source], [F.col(order)], limit, "_place"), "limited")
     totals = kept.groupBy(source).agg(F.count(F.lit(1)).alias("_kept"))
     before = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
     allowance = totals.select(source, (F.lit(limit) - F.coalesce(F.sum("_kept").over(before), F.lit(0))).alias("_room"))

@@ -63,11 +63,9 @@ def ratio_split(
     near = keys.join(F.broadcast(crossing), "_bucket")
     place = F.row_number().over(Window.partitionBy("cut").orderBy("_key"))
     bounds = near.withColumn("_rank", place).filter(F.col("_rank") == F.col("_place"))
-
-    def bound(cut: str) -> Column:
-        return bounds.filter(F.col("cut") == cut).agg(F.max("_key")).scalar()
-
-    split = F.when(key <= bound("train"), "train").when(key <= bound("validation"), "validation").otherwise("test")
+    last = {cut: F.max(F.when(F.col("cut") == cut, F.col("_key"))).alias(cut) for cut in ("train", "validation")}
+    pair = bounds.agg(F.struct(*last.values())).scalar()
+    split = F.when(key <= pair["train"], "train").when(key <= pair["validation"], "validation").otherwise("test")
     return df.withColumn("split", split)
 
 

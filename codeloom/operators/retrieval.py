@@ -17,6 +17,7 @@ from codeloom.session import fits
 
 BROADCAST_QUERIES = 16_384
 PACK_ROWS = 1024
+HELD_ROWS = 500_000
 CONTEXT_HEADER = "# Relevant context from project:\n"
 
 
@@ -69,32 +70,57 @@ def _packed(vectors: DataFrame, key: str, vector: str, prefix: str) -> DataFrame
     return vectors.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(pack, schema)
 
 
-def _nearest_in_packs(k: int):
-    """Best ``k`` of one pack of vectors for each query of one pack of queries."""
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    ordered = found.sort_values(["query_key", "score", "key"], kind="stable")
+    return ordered.groupby("query_key", sort=False).head(k)
+
+
+def _candidates(v_keys, v_data: bytes, q_keys, q_data: bytes, k: int) -> pd.DataFrame:
+    """What one pack of vectors has to offer one pack of queries."""
+    vectors = np.frombuffer(v_data, dtype=np.float32).reshape(len(v_keys), -1).astype(np.float64)
+    queries = np.frombuffer(q_data, dtype=np.float32).reshape(len(q_keys), -1).astype(np.float64)
+    v_norms, q_norms = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
+    rough = q_norms[:, None] + v_norms[None, :] - 2.0 * (queries @ vectors.T)
+    # The product form is off by rounding only; whatever may belong to the best
+    # k is measured again from the differences.
+    slack = 1e-8 * (1.0 + v_norms.max() + q_norms.max())
+    top = min(k, len(v_keys))
+    limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
+    q_at, v_at = np.nonzero(rough <= limit[:, None])
+    exact = ((vectors[v_at] - queries[q_at]) ** 2).sum(axis=1)
+    return pd.DataFrame(
+        {
+            "query_key": np.asarray(q_keys, dtype=object)[q_at],
+            "key": np.asarray(v_keys, dtype=object)[v_at],
+            "score": np.round(exact, 9),
+        }
+    )
+
+
+def _nearest_in_task(k: int):
+    """Best ``k`` per query among the vectors of a task.
+
+    Candidates are cut back to ``k`` per query whenever ``HELD_ROWS`` have
+    gathered, and passed on early if that does not make room, so a task holds a
+    bounded number of rows however many vectors and queries it sees.
+    """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
         for batch in batches:
-            for v_keys, v_data, q_keys, q_data in zip(batch["v_keys"], batch["v_data"], batch["q_keys"], batch["q_data"]):
-                vectors = np.frombuffer(v_data, dtype=np.float32).reshape(len(v_keys), -1).astype(np.float64)
-                queries = np.frombuffer(q_data, dtype=np.float32).reshape(len(q_keys), -1).astype(np.float64)
-                v_norms, q_norms = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
-                rough = q_norms[:, None] + v_norms[None, :] - 2.0 * (queries @ vectors.T)
-                # The product form is off by rounding only; whatever may belong
-                # to the best k is measured again from the differences.
-                slack = 1e-8 * (1.0 + v_norms.max() + q_norms.max())
-                top = min(k, len(v_keys))
-                limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
-                q_at, v_at = np.nonzero(rough <= limit[:, None])
-                exact = ((vectors[v_at] - queries[q_at]) ** 2).sum(axis=1)
-                found = pd.DataFrame(
-                    {
-                        "query_key": np.asarray(q_keys, dtype=object)[q_at],
-                        "key": np.asarray(v_keys, dtype=object)[v_at],
-                        "score": np.round(exact, 9),
-                    }
-                )
-                found = found.sort_values(["query_key", "score", "key"], kind="stable")
-                yield found.groupby("query_key", sort=False).head(k)
+            for row in batch.itertuples(index=False):
+                held.append(_best(_candidates(row.v_keys, row.v_data, row.q_keys, row.q_data, k), k))
+                size += len(held[-1])
+                if size > HELD_ROWS:
+                    best = _best(pd.concat(held), k)
+                    if len(best) > HELD_ROWS // 2:
+                        yield best
+                        held, size = [], 0
+                    else:
+                        held, size = [best], len(best)
+        if held:
+            yield _best(pd.concat(held), k)
 
     return search
 
@@ -106,8 +132,8 @@ def nearest(
     """Exact ``k`` nearest vectors of every query by squared L2 distance.
 
     Gives (query_key, key, score, rank); ties go to the smaller key. Both sides
-    are packed into blocks; a block of vectors meets every block of queries and
-    passes on ``k`` rows per query, not the pairs. Up to ``broadcast_queries``
+    are packed into blocks; a block of vectors meets every block of queries, and a
+    task passes on ``k`` rows per query, not the pairs. Up to ``broadcast_queries``
     queries go to the vectors where they lie. Beyond that the blocks of vectors
     are dealt to as many lanes as there are shuffle partitions, and the query
     blocks copied to each lane, so that both sides are shuffled in even shares.
@@ -126,7 +152,7 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    near = met.select("v_keys", "v_data", "q_keys", "q_data").mapInPandas(_nearest_in_packs(k), schema)
+    near = met.select("v_keys", "v_data", "q_keys", "q_data").mapInPandas(_nearest_in_task(k), schema)
     return first_n(near, ["query_key"], [F.col("score"), F.col("key")], k)
 
 
