@@ -135,6 +135,10 @@ def fix_message(code: Column, error: Column, language: Column) -> Column:
     )
 
 
+def explain_error_message(code: Column, error: Column, language: Column) -> Column:
+    return F.concat(F.lit("Can you explain this "), language, F.lit(' error: "'), error, F.lit('"\n\nCode: '), code)
+
+
 def strip_prompt(output: Column, prompt: Column) -> Column:
     """What a model wrote after the prompt."""
     return tx.strip(F.substring(output, F.length(prompt) + 1, F.length(output)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
 from codeloom.operators.ranking import dense_ids
+from codeloom.session import fits
 from codeloom.sources.tables import saved
 
 # Markers, special tokens and lengths.
@@ -21,8 +22,7 @@ MAX_LENGTH = 512
 
 # A word, or any other visible character; markers stay whole.
 TOKEN = r"<\|[a-z]+\|>|\w+|[^\w\s]"
-HOT_TOKENS = 1024
-HOT_LANES = 4096
+HOT_TOKENS = 500_000
 
 
 def marked(text: Column) -> Column:
@@ -67,39 +67,48 @@ def build_vocabulary(texts: DataFrame, text: str = "text", extra: Sequence[str]
     return extend_vocabulary(saved(dense_ids(counts, "token", "n", "token_id"), "token-ids"), extra)
 
 
+def _looked_up(single: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """Per text, its tokens in order: id, or the token itself where it is a rare one."""
+    token = F.when(F.col("token_id").isNull(), F.col("token")).alias("token")
+    item = F.struct("_pos", F.col("token_id").cast("int").alias("id"), token)
+    return (
+        single.join(F.broadcast(vocabulary.select("token", "token_id")), "token", "left")
+        .groupBy(key)
+        .agg(F.first("truncated").alias("truncated"), F.sort_array(F.collect_list(item)).alias("_items"))
+    )
+
+
 def encode(texts: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
     """Token ids of every text between its markers, cut to ``max_length``.
 
-    Gives (key, input_ids, attention_mask, token_count, truncated). The most
-    frequent tokens are a broadcast table of fixed size; only rarer ones take
-    part in the join on the token, so no join task gets a frequent token.
+    Gives (key, input_ids, attention_mask, token_count, truncated). The
+    ``HOT_TOKENS`` most frequent tokens are a broadcast table of that size, so
+    the usual vocabulary needs no join by shuffle. Of a larger one only the
+    tokens beyond it are shuffled: each of them is rarer than all those before,
+    so no join task gets a frequent one.
     """
     found = tx.pinned(texts.select(key, F.col(text).alias("_text")), _all=tokens(marked(F.col("_text"))))
     truncated = (F.size("_all") > max_length).alias("truncated")
     single = tx.unnest(found, F.slice("_all", 1, max_length), key, truncated, pos="_pos", item="token")
-
-    ids = vocabulary.select("token", "token_id")
+    unknown = F.lit(vocabulary.filter(F.col("token") == UNK).agg(F.max("token_id")).first()[0]).cast("int")
     special = F.col("token").isin(SPECIAL_TOKENS + TRAINING_CODE_TOKENS)
-    hot = (F.col("token_id") < HOT_TOKENS) | special
-    frequent = ids.filter(hot).select("token", F.col("token_id").alias("_hot_id"))
-    rare = ids.filter(~hot).select(F.col("token").alias("_rare"), F.col("token_id").alias("_rare_id"))
-    lane = F.concat(F.lit("\x00"), F.pmod(F.hash(F.col(key), F.col("_pos")), F.lit(HOT_LANES)).cast("string"))
-    looked_up = (
-        single.join(F.broadcast(frequent), "token", "left")
-        .withColumn("_lookup", F.when(F.col("_hot_id").isNull(), F.col("token")).otherwise(lane))
-        .join(rare, F.col("_lookup") == F.col("_rare"), "left")
-    )
-    unknown = vocabulary.filter(F.col("token") == UNK).agg(F.max("token_id")).scalar()
-    token_id = F.coalesce("_hot_id", "_rare_id", unknown).cast("int")
-    per_text = looked_up.groupBy(key).agg(
-        F.first("truncated").alias("truncated"),
-        F.sort_array(F.collect_list(F.struct("_pos", token_id.alias("id")))).alias("_ids"),
-    )
+
+    if fits(vocabulary.select("token_id"), HOT_TOKENS):
+        per_text = _looked_up(single, vocabulary, key).withColumn("_rare", F.lit(None).cast("map<int,int>"))
+    else:
+        hot = (F.col("token_id") < HOT_TOKENS) | special
+        per_text = saved(_looked_up(single, vocabulary.filter(hot), key), "looked-up")
+        left = tx.unnest(per_text, F.filter("_items", lambda x: x["id"].isNull()), key, item="_x").select(key, "_x._pos", "_x.token")
+        rare = left.join(vocabulary.filter(~hot), "token").groupBy(key)
+        ids = rare.agg(F.map_from_entries(F.collect_list(F.struct("_pos", F.col("token_id").cast("int")))).alias("_rare"))
+        per_text = per_text.join(ids, key, "left")
+
+    input_ids = F.transform("_items", lambda x: F.coalesce(x["id"], F.try_element_at("_rare", x["_pos"]), unknown))
     return per_text.select(
         key,
-        F.transform("_ids", lambda x: x["id"]).alias("input_ids"),
-        F.array_repeat(F.lit(1), F.size("_ids")).alias("attention_mask"),
-        F.size("_ids").alias("token_count"),
+        input_ids.alias("input_ids"),
+        F.array_repeat(F.lit(1), F.size("_items")).alias("attention_mask"),
+        F.size("_items").alias("token_count"),
         "truncated",
     )
 

@@ -45,6 +45,7 @@ PROMPT_SQL = {
     "hub_completion": f"concat('# ', language, ' code completion', {NL}, message)",
     "explain": f"concat('Please explain this ', language, ' code:', {NL}, {NL}, '```', language, {NL}, message, {NL}, '```')",
     "fix": f"""concat('I''m getting this error: "', context, '"', {NL}, {NL}, 'In this ', language, ' code:', {NL}, {NL}, '```', language, {NL}, message, {NL}, '```', {NL}, {NL}, 'Can you help me fix it?')""",
+    "explain_error": f"""concat('Can you explain this ', language, ' error: "', context, '"', {NL}, {NL}, 'Code: ', message)""",
 }
 
 
@@ -67,6 +68,7 @@ def build_chat_prompt(spark, sf_dir):
         "hub_completion": fa.hub_completion_prompt(message, language),
         "explain": fa.explain_message(message, language),
         "fix": fa.fix_message(message, context, language),
+        "explain_error": fa.explain_error_message(message, context, language),
     }
     return turns.select("conv_id", "turn", *[F.md5(p).alias(name) for name, p in prompts.items()])
 

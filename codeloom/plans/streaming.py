@@ -91,6 +91,25 @@ def stream_debounce(spark, sf_dir):
     return ms.drain(last, "debounce").select("user_id", "event_id", micros("ts").alias("last_at"), "n_events")
 
 
+@query(
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events),
+      runs AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM marked)
+      SELECT user_id, epoch_us(a) AS connected_at, round(epoch_us(z) / 1e6 - epoch_us(a) / 1e6, 3) AS seconds, messages_sent, messages_received FROM (
+        SELECT user_id, min(ts) AS a, max(ts) AS z, count(*) FILTER (event_type IN ('view', 'purchase')) AS messages_sent,
+          count(*) FILTER (event_type IN ('click', 'signup')) AS messages_received FROM runs GROUP BY user_id, run)
+      WHERE z + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)"""
+)
+def stream_connection_lifetimes(spark, sf_dir):
+    """A user's events less than six hours apart as one connection."""
+    kind = F.col("event_type")
+    lived = ms.connection_lifetimes(
+        event_stream(spark, sf_dir), kind.isin("view", "purchase"), kind.isin("click", "signup"), idle="6 hours"
+    )
+    return ms.drain(lived, "lifetimes").select(
+        "user_id", micros("connected_at").alias("connected_at"), F.round("seconds", 3).alias("seconds"), "messages_sent", "messages_received"
+    )
+
+
 @query(
     f"""{MATCH_CTE} SELECT req.request_id, type AS request_type, reply_id, reply_type FROM req LEFT JOIN settled ON req.request_id = settled.request_id
       WHERE reply_id IS NOT NULL OR req.ts + INTERVAL 15 SECOND <

@@ -18,7 +18,7 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     A text field only counts if the JSON value is a string; a number or an
     object in its place reads as missing.
     """
-    variant = lines.withColumn("_v", F.try_parse_json(F.col(value)))
+    variant = tx.pinned(lines, _v=F.try_parse_json(F.col(value)))
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
 
     def text_field(name: str) -> Column:

@@ -90,6 +90,22 @@ def connection_counters(messages: DataFrame, sent: Column, received: Column, win
     )
 
 
+def connection_lifetimes(messages: DataFrame, sent: Column, received: Column, idle: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+    """One row per connection once it has been idle for ``idle``: duration and counters."""
+    return (
+        messages.withWatermark("ts", late)
+        .groupBy("user_id", F.session_window("ts", idle).alias("w"))
+        .agg(
+            F.min("ts").alias("connected_at"),
+            F.max("ts").alias("last_ts"),
+            F.count_if(sent).alias("messages_sent"),
+            F.count_if(received).alias("messages_received"),
+        )
+        .withColumn("seconds", F.unix_micros("last_ts") / 1e6 - F.unix_micros("connected_at") / 1e6)
+        .select("user_id", "connected_at", "seconds", "messages_sent", "messages_received")
+    )
+
+
 def debounce(events: DataFrame, payload: str, quiet: str = DEBOUNCE, late: str = "1 minute") -> DataFrame:
     """The last event of every run of events without a pause of ``quiet``."""
     return (
