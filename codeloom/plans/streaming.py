@@ -142,6 +142,6 @@ def stream_index_append(spark, sf_dir):
     def embed(chunks: DataFrame) -> DataFrame:
         return rt.embed_text(chunks, dims=DIMS)
 
-    for _ in range(2):
-        grown = ms.stream_index(file_stream(spark, sf_dir, "documents", DOCUMENT), to_chunks, embed, path)
+    for name in ("first", "again"):
+        grown = ms.stream_index(file_stream(spark, sf_dir, "documents", DOCUMENT), to_chunks, embed, path, name)
     return grown.select("key", F.length("text").alias("n_chars"), F.size("embedding").alias("dims"))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schemas import SPLIT_COLUMNS
-from codeloom.session import shared_dir
+from codeloom.session import fits, shared_dir
+
+BROADCAST_KEYS = 1_000_000
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -38,9 +40,12 @@ def write_jsonl(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Retrieval index: key, text, metadata and vector of a chunk in one row."""
-    chunks.select("key", "text", "metadata", "embedding").write.mode(mode).parquet(path)
+def write_index(chunks: DataFrame, path: str, part: str = "base") -> None:
+    """Retrieval index: key, text, metadata and vector of a chunk in one row.
+
+    The index is a folder of parts; writing a part again replaces it.
+    """
+    chunks.select("key", "text", "metadata", "embedding").write.mode("overwrite").parquet(f"{path}/part={part}")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +62,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def grow_index(
-    spark: SparkSession, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str
+    spark: SparkSession, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, part: str
 ) -> None:
-    """Embeds and appends the chunks whose key the index does not hold yet."""
-    new = chunks.dropDuplicates(["key"])
+    """Embeds the chunks whose key no other part holds, and writes them as ``part``.
+
+    A part that is written again after a failure comes out the same. The keys of
+    a batch go to the index where they are few, so that the index is read, key
+    column only, but not shuffled.
+    """
+    new = saved(chunks.dropDuplicates(["key"]), "new-chunks")
     if exists(spark, path):
-        new = new.join(read_index(spark, path).select("key"), "key", "left_anti")
-    write_index(embed(new), path, "append")
+        held = spark.read.parquet(path).filter(F.col("part") != part).select("key")
+        if fits(new.select("key"), BROADCAST_KEYS):
+            held = F.broadcast(held.join(F.broadcast(new.select("key")), "key", "left_semi").distinct())
+        new = new.join(held, "key", "left_anti")
+    write_index(embed(new), path, part)
 
 
 def metadata(kind: Column, name: Column, start: Column, end: Column, file: Column) -> Column:

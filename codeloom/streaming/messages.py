@@ -155,16 +155,17 @@ def reconnect_delay_ms(attempt: Column) -> Column:
 
 
 def stream_index(
-    stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], path: str
+    stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], path: str, name: str
 ) -> DataFrame:
-    """Chunks arriving texts, and embeds and appends the chunks the index lacks.
+    """Chunks arriving texts, and embeds and adds the chunks the index lacks.
 
-    A batch that is replayed after a failure finds its chunks in the index.
+    Every batch is a part of the index under the stream's name and the batch's
+    number, so a batch that is replayed after a failure replaces itself.
     """
     spark: SparkSession = stream.sparkSession
 
-    def append(batch: DataFrame, _: int) -> None:
-        tables.grow_index(spark, to_chunks(batch), embed, path)
+    def append(batch: DataFrame, number: int) -> None:
+        tables.grow_index(spark, to_chunks(batch), embed, path, f"{name}-{number}")
 
     drain_batches(stream, "index-stream", append)
     return tables.read_index(spark, path)
