@@ -186,11 +186,13 @@ def match_replies(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, D
     """
     sent = requests.select("request_id", F.col("type").alias("request_type"), F.col("ts").alias("sent"))
     got = replies.select("reply_id", "request_id", F.col("type").alias("reply_type"), F.col("ts").alias("replied"))
-    pairs = sent.join(got, "request_id").filter(in_time(F.col("request_type"), F.col("sent"), F.col("replied")))
-    first = F.min_by(F.struct("reply_id", "reply_type"), F.struct("replied", "reply_id"))
-    settled = pairs.groupBy("request_id").agg(first.alias("_r")).select("request_id", "_r.*")
-    fits = reply_fits(F.col("request_type"), F.col("reply_type"))
-    status = F.when(F.col("reply_id").isNull(), "timeout").when(fits, "answered").otherwise("rejected")
-    outcomes = sent.join(settled, "request_id", "left").select("request_id", "request_type", "reply_id", status.alias("status"))
-    unknown = got.join(settled.select("request_id", "reply_id"), ["request_id", "reply_id"], "left_anti")
-    return outcomes, unknown
+    waited_for = in_time(F.col("request_type"), F.col("sent"), F.col("replied"))
+    to_request = (F.col("request_id") == F.col("_to")) & waited_for
+    pairs = sent.join(got.withColumnRenamed("request_id", "_to"), to_request, "left")
+    first = F.min(F.struct("replied", "reply_id", "reply_type"))
+    settled = pairs.groupBy("request_id", "request_type", "sent").agg(first.alias("_r"))
+    fits = reply_fits(F.col("request_type"), F.col("_r.reply_type"))
+    status = F.when(F.col("_r.reply_id").isNull(), "timeout").when(fits, "answered").otherwise("rejected")
+    outcomes = settled.select("request_id", "request_type", F.col("_r.reply_id").alias("reply_id"), status.alias("status"))
+    used = outcomes.filter("reply_id IS NOT NULL").select("request_id", "reply_id")
+    return outcomes, got.join(used, ["request_id", "reply_id"], "left_anti")
