@@ -256,15 +256,15 @@ FITS_SQL = "CASE context " + " ".join(
 @query(
     f"""{FILES_CTE}, pools AS ({pools_sql()}),
       asked AS (SELECT doc_id, CASE WHEN language IN ('python', 'javascript', 'java') THEN language ELSE 'default' END AS pool,
-        {class_sql(LINES + '[1]', fa.LINE_WORDS)} AS context FROM files),
+        {class_sql("string_split(trim(text, chr(10)), chr(10))[-1]", fa.LINE_WORDS)} AS context FROM files),
       placed AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY ({FITS_SQL}) DESC, md5(concat(doc_id, '|', c))) - 1 AS place
         FROM asked JOIN pools USING (pool))
       SELECT doc_id, place, c AS candidate FROM placed WHERE place < 3"""
 )
 def candidates_by_context(spark, sf_dir):
-    """Three stock completions per file, with the cursor on its first line."""
-    first_line = F.substring_index("text", "\n", 1)
-    picked = assist.candidates(first_line, F.col("language"), F.col("doc_id"))
+    """Three stock completions per file, with the cursor on its last written line."""
+    written = F.btrim("text", F.lit("\n"))
+    picked = assist.candidates(written, F.col("language"), F.col("doc_id"))
     return tx.unnest(files(spark, sf_dir), picked, "doc_id", pos="place", item="candidate")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import metrics
 from codeloom.operators.ranking import first_n
 from codeloom.plans.registry import query
-from codeloom.plans.views import K_SQL, events, table
+from codeloom.plans.views import K_SQL, table
 from codeloom.session import shared_dir
 from codeloom.sources import files
 from codeloom.streaming.messages import reconnect_delay_ms
@@ -93,6 +93,6 @@ def acceptance_stats(spark, sf_dir):
 )
 def backoff_schedule(spark, sf_dir):
     """Errors of a day as failed connects: the first five get a reconnect delay."""
-    failed = events(spark, sf_dir).filter("event_type = 'error'").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    failed = table(spark, sf_dir, "events").filter("event_type = 'error'").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     tries = first_n(failed, ["user_id", "day"], [F.col("ts"), F.col("event_id")], 5).withColumn("attempt", F.col("rank") - 1)
     return tries.select("user_id", "day", "attempt", reconnect_delay_ms(F.col("attempt")).alias("delay_ms"), "event_id")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom import jobs
 from codeloom.functions import text as tx
 from codeloom.operators import corpus, ranking
 from codeloom.plans.corpus import FILTER_SQL, FILES_CTE, SPLIT_SQL
 from codeloom.plans.registry import query
-from codeloom.plans.tokens import ENCODED_CTE, encoded
+from codeloom.plans.tokens import ENCODED_CTE, encoded, tokens_sql
 from codeloom.plans.views import code_files, md5_list, table
 from codeloom.session import shared_dir
 from codeloom.sources import files, tables
@@ -28,7 +29,7 @@ def written_records(spark, sf_dir) -> str:
         .otherwise(good)
     )
     folder = shared_dir(spark, "records")
-    records.select(line.alias("value")).write.option("compression", "none").text(f"{folder}/raw")
+    records.select(line.alias("value")).write.option("compression", "none").text(f"{folder}/raw.jsonl")
     return folder
 
 
@@ -41,12 +42,26 @@ def written_records(spark, sf_dir) -> str:
 def src_jsonl_scan(spark, sf_dir):
     """JSONL folder to filtered files, with unreadable lines as a side table."""
     folder = written_records(spark, sf_dir)
-    lines = spark.read.option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    good, rejected = files.split_rejects(files.parse_records(lines))
+    good, rejected = files.split_rejects(files.scan_jsonl(spark, folder))
     kept = corpus.filter_code(corpus.with_language(corpus.with_code_text(good)))
     return corpus.union_sources(kept.select("id", "language", F.length("text").alias("n_chars")), rejected.select("rejected"))
 
 
+TOKENS_LEN = "len(" + tokens_sql("concat('<|code|>', text, '<|endoftext|>')") + ")"
+
+
+@query(
+    f"""{FILES_CTE} SELECT language, count(*) AS n_rows, CAST(sum(least(512, {TOKENS_LEN})) AS bigint) AS n_tokens,
+        count(*) FILTER ({TOKENS_LEN} > 512) AS n_truncated FROM files WHERE doc_id % 10 NOT IN (5, 7, 9) AND {FILTER_SQL} GROUP BY language"""
+)
+def build_corpus_job(spark, sf_dir):
+    """Raw JSONL to the written split set, summed up per language."""
+    built = jobs.build_corpus(spark, written_records(spark, sf_dir), shared_dir(spark, "corpus"))
+    return built.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("token_count").alias("n_tokens"), F.count_if("truncated").alias("n_truncated")
+    )
+
+
 @query("SELECT concat(item_id) AS item, length(text) + 1 AS n_chars, 'doc' AS kind, md5(concat(text, chr(10))) AS digest FROM benchmark")
 def src_tree_scan(spark, sf_dir):
     """Every benchmark item as a file of its own in a folder tree, then scanned."""

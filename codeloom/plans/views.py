@@ -70,7 +70,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_instants(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Wall-clock times as instants in UTC, whatever the session's time zone."""
+    return rows.withColumn("ts", F.expr("CAST(convert_timezone('UTC', current_timezone(), ts) AS timestamp)"))
 
 
 def as_requests(rows: DataFrame) -> DataFrame:

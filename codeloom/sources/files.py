@@ -31,12 +31,13 @@ def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scan_jsonl(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of all ``*.jsonl`` files below a folder, parsed, with their file."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
-    return parse_records(lines)
+    """All lines of all ``*.jsonl`` below a folder, parsed, with their file.
+
+    A name with the suffix may also be a folder of parts, as Spark writes it.
+    """
+    path = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select("value", path.alias("file"), path.rlike(r"\.jsonl(/|\z)").alias("_in"))
+    return parse_records(lines.filter("_in").drop("_in"))
 
 
 def split_rejects(records: DataFrame) -> tuple[DataFrame, DataFrame]:

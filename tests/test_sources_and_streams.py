@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import jobs
 from codeloom.session import fits, shared_dir
 from codeloom.sources import files, tables
 from codeloom.streaming import messages as ms
@@ -47,6 +48,26 @@ def test_splits_are_checked(spark):
         tables.read_splits(spark, path, required=["label"])
 
 
+def test_jobs(spark, tmp_path):
+    raw, tree = tmp_path / "raw", tmp_path / "tree"
+    raw.mkdir(), tree.mkdir()
+    code = "import os\n\n\ndef f_{0}(x):\n    return x + {0}\n"
+    lines = [json.dumps({"code": code.format(i), "path": f"{i}.py"}) for i in range(20)] + ["{broken", json.dumps({"code": "short"})]
+    (raw / "a.jsonl").write_text("\n".join(lines))
+    built = jobs.build_corpus(spark, str(raw), shared_dir(spark, "job")).collect()
+    assert sorted(r.split for r in built) == ["test"] * 2 + ["train"] * 16 + ["validation"] * 2
+    assert {r.language for r in built} == {"python"} and sorted(r.text for r in built) == sorted(code.format(i) for i in range(20))
+    assert all(len(r.input_ids) == len(r.attention_mask) == r.token_count and not r.truncated for r in built)
+
+    (tree / "a.py").write_text(code.format(1))
+    (tree / "b.md").write_text("# Title\n\nhow to start the server from the command line in a few steps\n")
+    index = jobs.build_index(spark, [str(tree)], shared_dir(spark, "job-index"))
+    assert sorted((r.metadata.type, r.metadata.name) for r in index.collect()) == [("FunctionDef", "f_1"), ("doc", None)]
+    asked = spark.createDataFrame([(1, "start the server", "x = 1")], "query_key int, text string, code string")
+    context = jobs.contexts(index, asked, k=1).first().context
+    assert context == "# Relevant context from project:\nhow to start the server from the command line in a few steps\n\nx = 1"
+
+
 def test_fits(spark):
     assert fits(spark.range(3), 3) and not fits(spark.range(4), 3)
 
