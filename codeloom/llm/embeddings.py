@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.graph import components
+from codeloom.llm.graph import components, smallest_places
 from codeloom.sources.tables import saved
 
 PASSES = 20
@@ -71,20 +71,6 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place reached from each of ``n`` places along pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _neighbours(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pd.DataFrame | None = None
@@ -102,7 +88,7 @@ def _neighbours(threshold: float):
                     hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)
                     left.append(hit)
                     right.append(hit + step)
-                root = _roots(len(group), np.concatenate(left), np.concatenate(right))
+                root = smallest_places(len(group), np.concatenate(left), np.concatenate(right))
                 moved = np.flatnonzero(root != np.arange(len(group)))
                 if len(moved):
                     ids = group["vec_id"].to_numpy()

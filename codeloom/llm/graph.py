@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     least = labels.groupBy("root").agg(F.min("node").alias("_least"))
     return saved(labels.join(least, "root").select("node", F.col("_least").alias("root")), "components")
+
+
+def smallest_places(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place reached from each of ``n`` places along pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

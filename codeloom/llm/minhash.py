@@ -6,10 +6,13 @@ banded; documents that agree in a band are candidates. With 35 bands of 5 values
 pair at similarity 0.8 is missed once in a million.
 
 Documents with one and the same set are one node. In each band the members are
-first compared with the smallest one only, and joined; then all pairs of a band that
-are not yet connected are compared, so a large group costs about one comparison per
-member, and no link between different components is lost. Comparisons are on the
-full sets of 64-bit shingle hashes.
+first compared with the smallest one only, and joined. Then whatever a band holds in
+more than one component is compared in full: in bands of few members pairs whose
+one-bit sketches (a bit of each signature value) differ too much are left out; larger
+bands are cut into blocks, and a task that holds two blocks counts the shared shingles
+of all their pairs and returns only which components meet. So a large group neither
+meets in one task nor is written out as pairs, and no link between components is lost.
+Comparisons are on the full sets of 64-bit shingle hashes.
 
 NULL and empty texts have an empty set and are linked with nothing. Rows that share
 a doc_id are one document. A row with a NULL doc_id stands alone, without
@@ -21,12 +24,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import words as w
-from codeloom.llm.graph import components
+from codeloom.llm.graph import components, smallest_places
 from codeloom.sources.tables import saved
 
 BANDS, ROWS = 35, 5
@@ -36,7 +40,12 @@ _FLIP = _random.integers(0, 1 << 32, _PERMUTATIONS, dtype=np.uint32)
 _TIMES = _random.integers(0, 1 << 32, _PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _BAND = w.mixed(_random.integers(1, 1 << 63, BANDS, dtype=np.uint64))
 _STEP = np.uint64(0x9FB21C651E98DF25)
-SLICE = 1 << 16
+SKETCH = 3  # 64-bit words of sketch
+#: Sketches of a pair at similarity 0.8 differ in a tenth of their bits; this is 5.5 standard errors more.
+MOST_DIFFERENT = int(BANDS * ROWS * 0.1 + 5.5 * (BANDS * ROWS * 0.09) ** 0.5)
+FEW = 16  # members of a band that are joined pair by pair
+BLOCK = 512
+COLUMNS = 4096
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +65,8 @@ def shingles(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
     return found[order], np.searchsorted(owner[order], np.arange(len(n_words) + 1))
 
 
-def signatures(found: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Band keys (texts x BANDS) of texts that all have shingles."""
+def signatures(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x BANDS) and sketches (texts x SKETCH) of texts that all have shingles."""
     low = np.empty((2 * _PERMUTATIONS, len(first) - 1), np.uint32)
     narrow = (found >> np.uint64(32)).astype(np.uint32)
     heads = first[:-1]
@@ -68,7 +77,9 @@ def signatures(found: np.ndarray, first: np.ndarray) -> np.ndarray:
     keys = np.repeat(_BAND[:, None], low.shape[1], axis=1)
     for r in range(ROWS):
         keys = w.mixed(keys * _STEP + low[r * BANDS : (r + 1) * BANDS].astype(np.uint64))
-    return keys.T
+    bits = np.zeros((low.shape[1], SKETCH * 64), np.uint8)
+    bits[:, : BANDS * ROWS] = ((low[: BANDS * ROWS] >> np.uint32(7)) & np.uint32(1)).T
+    return keys.T, np.packbits(bits, axis=1).view(np.int64)
 
 
 def _distinct(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +96,7 @@ def _print_batches(size: int):
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 sums = np.zeros((2, len(n)), np.uint64)
+                sketch = np.zeros((len(n), SKETCH), np.int64)
                 bands: list = [None] * len(n)
                 if len(full):
                     heads = np.append(first[full], first[-1])
@@ -92,14 +104,15 @@ def _print_batches(size: int):
                     sums[1, full] = np.add.reduceat(w.mixed(found ^ _STEP), heads[:-1])
                     offsets = np.zeros(len(n) + 1, np.int32)
                     offsets[1:] = np.cumsum(n > 0) * BANDS
-                    flat = pa.array(signatures(found, heads).ravel().view(np.int64))
-                    bands = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                    keys, sketch[full] = signatures(found, heads)
+                    bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(begin, end - begin),
                         "n_shingles": pa.array(n),
                         "f1": pa.array(sums[0].view(np.int64)),
                         "f2": pa.array(sums[1].view(np.int64)),
+                        **{f"s{k}": pa.array(sketch[:, k]) for k in range(SKETCH)},
                         "bands": bands if isinstance(bands, pa.Array) else pa.array(bands, pa.list_(pa.int64())),
                     }
                 )
@@ -129,17 +142,54 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b")
 
 
+def _meeting(percent: int):
+    """Links between components within two blocks of a band, as spanning edges (a, b) of their roots."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] != 2], rows[rows["side"] != 1]
+        both = pd.concat([left, right])
+        sets = [np.asarray(x) for x in both["shingles"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        twice = seen > 1
+        column = (np.cumsum(twice) - 1)[place]
+        keep = twice[place]
+        owner, column = owner[keep], column[keep]
+        by = np.argsort(column, kind="stable")
+        owner, column = owner[by], column[by]
+        n = len(left)
+        shared = np.zeros((n, len(right)), np.float32)
+        for start in range(0, int(twice.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[owner[a:b], column[a:b] - start] = 1
+            shared += has[:n] @ has[n:].T
+        common = np.rint(shared).astype(np.int64)
+        root = both["root"].to_numpy()
+        linked = (100 * common >= percent * (size[:n, None] + size[None, n:] - common)) & (root[:n, None] != root[None, n:])
+        names, number = np.unique(root, return_inverse=True)
+        x, y = np.nonzero(linked)
+        joined = smallest_places(len(names), number[:n][x], number[n:][y])
+        moved = np.flatnonzero(joined != np.arange(len(names)))
+        return pd.DataFrame({"a": names[moved], "b": names[joined[moved]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for every row."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), w.text_of(docs).alias("text"))
-    prints = saved(texts.mapInArrow(_print_batches(size), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"), "prints")
+    prints = saved(
+        texts.mapInArrow(_print_batches(size), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "prints"
+    )
     linkable = prints.filter("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["f1", "f2", "n_shingles"]
     classes = saved(linkable.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
-    members = saved(linkable.drop("bands").join(classes, same).select("doc_id", "node"), "members").distinct()
+    members = saved(linkable.select("doc_id", *same).join(classes, same).select("doc_id", "node").distinct(), "members")
 
-    leading = linkable.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
-    keys = leading.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("key"))
+    leading = linkable.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi").withColumnRenamed("doc_id", "node")
+    keys = leading.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = saved(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader <> _last").drop("_last"), "shared-keys")
     buckets = saved(keys.join(shared, "key"), "buckets")
 
@@ -147,29 +197,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = saved(followers.groupBy("node").agg(F.max_by("leader", F.struct("_n", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b")), "first-pairs")
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches(size), "node bigint, shingles array<bigint>"), "sets")
-    links = saved(similar(first, sets, percent), "first-links")
-    # Own doc_id stands for rows that share a doc_id but not a text.
+    links = similar(first, sets, percent)
+    # Rows that share a doc_id but not a text are one document.
     links = links.union(members.filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     joined = components(links)
 
-    # Whatever a band holds in more than one component is compared pair by pair.
-    placed = buckets.join(joined, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    placed = saved(placed, "placed")
-    split = saved(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key"), "split-keys")
-    loose = saved(placed.join(split, "key"), "loose")
-    left = loose.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("_na"), F.col("root").alias("_ra"))
-    right = loose.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("_nb"), F.col("root").alias("_rb"))
-    close = F.expr(f"a < b AND _ra <> _rb AND 100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
-    pairs = saved(left.join(right, "key").filter(close).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "loose-pairs")
-    more = saved(similar(pairs, sets, percent), "more-links")
-    roots = joined.select("node", "root")
-    ends = more.join(roots.withColumnsRenamed({"node": "a", "root": "_a"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "_b"}), "b", "left")
-    merged = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    placed = saved(buckets.join(joined, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root")), "placed")
+    open_ = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_m"))
+    open_ = saved(open_.filter("_low <> _high").select("key", "_m"), "open-keys")
+    loose = saved(placed.join(open_, "key"), "loose")
+    few = loose.filter(F.col("_m") <= FEW).join(leading.select("node", "s0", "s1", "s2").dropDuplicates(["node"]), "node")
+    side = lambda x: few.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n_shingles", "root", "s0", "s1", "s2")])
+    differ = " + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(SKETCH))
+    close = f"a_node < b_node AND a_root <> b_root AND 100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles) AND {differ} <= {MOST_DIFFERENT}"
+    pairs = side("a").join(side("b"), "key").filter(close).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    more = similar(pairs.join(first, ["a", "b"], "left_anti"), sets, percent)
+    roots = loose.select("node", "root").distinct()
+    more = more.join(roots.withColumnsRenamed({"node": "a", "root": "_a"}), "a").join(roots.withColumnsRenamed({"node": "b", "root": "_b"}), "b")
+    more = more.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    many = loose.filter(F.col("_m") > FEW).withColumn("_n", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.join(sets, "node").select("key", "root", "shingles", "_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
+    cells = [many.select("key", F.col(i).alias("i"), F.col(j).alias("j"), "root", "shingles", F.lit(s).alias("side")) for i, j, s in (("_i", "_j", 1), ("_j", "_i", 2))]
+    # A block with itself stands once on either side; of two blocks one order is enough.
+    met = cells[0].filter("i <= j").union(cells[1].filter("i <= j")).groupBy("key", "i", "j").applyInPandas(_meeting(percent), "a bigint, b bigint")
+    merged = components(more.union(met))
 
     step = merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))
     final = joined.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("component_id"))
     alone = merged.join(joined.select("node"), "node", "left_anti").select("node", F.col("root").alias("component_id"))
-    found = saved(final.union(alone), "found").withColumnRenamed("node", "doc_id")
+    # Every row of a class has the component of its first document.
+    found = final.union(alone).withColumnRenamed("node", "doc_id")
+    found = saved(found, "found")
     out = prints.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
