@@ -29,8 +29,9 @@ NARROW = 15
 SLOTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15))
 #: Bits of every narrow value.
 _WIDTH = np.repeat(np.arange(NARROW + 1, dtype=np.uint8), [1, *(1 << k for k in range(NARROW))])
-MEMO_PIECES = 1_500_000  # pieces whose ids a worker remembers before it starts anew
-ROW_BYTES = 4 << 20
+MEMO_PIECES = 3_000_000  # pieces whose ids a worker remembers before it starts anew
+ROW_BYTES = 1 << 20
+JOINED_BYTES = 1 << 16
 
 FILE_SCHEMA = (
     "part int, piece int, doc_ids array<bigint>, counts binary, n bigint, words binary, block_at binary, escape_at binary, escape_high binary"
@@ -106,32 +107,77 @@ def unpack(n: int, coded: np.ndarray, block_at: np.ndarray, escape_at: np.ndarra
 
 
 class Encoder:
-    """The tokenizer, asked once for each piece of text.
+    r"""The tokenizer, asked once for each piece of text.
 
-    A text is cut before every space that a letter follows: byte-level rules
-    that split words at ``' ?\\p{L}+'`` begin a token there, whatever stands
-    before, so ids of the pieces put together are the ids of the text.
+    A text is cut before every space that a letter follows, and before every ASCII
+    mark that follows a letter: byte-level rules that split words at ``' ?\\p{L}+'``
+    begin a token at either place, whatever stands around, so ids of the pieces put
+    together are the ids of the text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # A character of a byte-level token stands for a byte; added tokens are ASCII.
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.known) + len(keys) > MEMO_PIECES:
-            self.clear()
-        coded = [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, *coded])
-        to = np.searchsorted(self.known, keys)
-        self.known, self.at, self.size = np.insert(self.known, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        """Known pieces in two sorted runs, the later one small: (hash, begin of its ids, number of ids)."""
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.flat = [np.zeros(0, np.uint16)]
+        self.n_flat = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of ids of each piece; -1 for a new one."""
+        begin, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, at, n in self.known:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[place] == keys
+                begin[hit], size[hit] = at[place[hit]], n[place[hit]]
+        return begin, size
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and how many are of each.
+
+        Pieces that begin with a space and a letter are joined and encoded
+        together; the bytes of the tokens tell them apart again.
+        """
+        runs: list[list[bytes]] = []
+        room = 0
+        for piece in pieces:
+            if room < len(piece) or not (piece[:1] == b" " and piece[1:2].isalpha()):
+                runs.append([])
+                room = JOINED_BYTES
+            runs[-1].append(piece)
+            room -= len(piece)
+        coded = self.tokenizer.encode_batch_fast([b"".join(run).decode("utf-8", "replace") for run in runs], add_special_tokens=False)
+        ids, sizes = [], []
+        for run, code in zip(runs, coded):
+            found = np.array(code.ids, np.uint32)
+            ends = np.cumsum([len(piece) for piece in run])
+            last = np.append(0, np.searchsorted(np.cumsum(self.bytes_of[found]), ends, "right"))
+            last[-1] = len(found)
+            ids.append(found)
+            sizes.append(np.diff(last))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Remembers the ids of new pieces, given in the order of their hashes."""
+        ids, size = self.ids_of(pieces)
+        new = keys, self.n_flat + np.cumsum(size) - size, size.astype(np.int32)
+        self.flat.append(ids.astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32))
+        self.n_flat += len(ids)
+        to = np.searchsorted(self.known[1][0], keys)
+        self.known[1] = tuple(np.insert(a, to, b) for a, b in zip(self.known[1], new))
+        if len(self.known[1][0]) * 8 > len(self.known[0][0]):
+            to = np.searchsorted(self.known[0][0], self.known[1][0])
+            self.known = [tuple(np.insert(a, to, b) for a, b in zip(*self.known)), tuple(a[:0] for a in self.known[1])]
+            self.flat = [np.concatenate(self.flat)]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many are of each."""
@@ -147,26 +193,22 @@ class Encoder:
         # Spaces of different widths have different hashes: the length goes in as well.
         keys = w.mixed(w.hashes(data, starts, ends) + (ends - starts).astype(np.uint64))
         unique, seen, back = np.unique(keys, return_index=True, return_inverse=True)
-        new = self._missing(unique)
+        begin, _ = self.find(unique)
+        new = np.flatnonzero(begin < 0)
         if len(new):
-            if len(self.known) + len(new) > MEMO_PIECES:
+            if sum(len(known) for known, _, _ in self.known) + len(new) > MEMO_PIECES:
                 self.clear()
                 new = np.arange(len(unique))
             raw = data.tobytes()
-            self.learn(unique[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in seen[new]])
-        found = np.searchsorted(self.known, unique)
-        size, at = self.size[found][back], self.at[found][back]
+            self.learn(unique[new], [raw[a:b] for a, b in zip(starts[seen[new]].tolist(), ends[seen[new]].tolist())])
+        begin, size = (x[back] for x in self.find(unique))
         total = np.cumsum(size)
-        ids = self.flat[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        if len(self.flat) > 1:
+            self.flat = [np.concatenate(self.flat)]
+        ids = self.flat[0][np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
         edges = np.append(0, total)[np.searchsorted(starts, bounds)]
         return ids, np.diff(edges)
 
-    def _missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.arange(len(keys))
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        return np.flatnonzero(self.known[at] != keys)
-
 
 _encoders: dict[str, Encoder] = {}
 
