@@ -12,6 +12,8 @@ ordered by text; a NULL doc_id comes first. Empty tables give empty files and re
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +31,10 @@ NARROW = 15
 SLOTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15))
 #: Bits of every narrow value.
 _WIDTH = np.repeat(np.arange(NARROW + 1, dtype=np.uint8), [1, *(1 << k for k in range(NARROW))])
-MEMO_PIECES = 3_000_000  # pieces whose ids a worker remembers before it starts anew
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,:;", np.uint8))
+MEMO_PIECES = 1_500_000  # pieces whose ids a worker remembers before it starts anew
 ROW_BYTES = 1 << 20
-JOINED_BYTES = 1 << 16
+JOINED_BYTES = 1 << 12
 
 FILE_SCHEMA = (
     "part int, piece int, doc_ids array<bigint>, counts binary, n bigint, words binary, block_at binary, escape_at binary, escape_high binary"
@@ -116,6 +119,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # One thread: a task has one core, and each thread more keeps memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -141,35 +146,32 @@ class Encoder:
                 begin[hit], size[hit] = at[place[hit]], n[place[hit]]
         return begin, size
 
-    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, joined: list[bytes], alone: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, and how many are of each.
 
-        Pieces that begin with a space and a letter are joined and encoded
+        Pieces that begin with a space and a letter are ``joined`` and encoded
         together; the bytes of the tokens tell them apart again.
         """
-        runs: list[list[bytes]] = []
-        room = 0
-        for piece in pieces:
-            if room < len(piece) or not (piece[:1] == b" " and piece[1:2].isalpha()):
-                runs.append([])
-                room = JOINED_BYTES
-            runs[-1].append(piece)
-            room -= len(piece)
-        coded = self.tokenizer.encode_batch_fast([b"".join(run).decode("utf-8", "replace") for run in runs], add_special_tokens=False)
-        ids, sizes = [], []
-        for run, code in zip(runs, coded):
-            found = np.array(code.ids, np.uint32)
-            ends = np.cumsum([len(piece) for piece in run])
-            last = np.append(0, np.searchsorted(np.cumsum(self.bytes_of[found]), ends, "right"))
-            last[-1] = len(found)
-            ids.append(found)
-            sizes.append(np.diff(last))
-        return np.concatenate(ids), np.concatenate(sizes)
-
-    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        ends = np.cumsum([len(piece) for piece in joined] + [len(piece) for piece in alone])
+        cuts = np.searchsorted(ends[: len(joined)], np.arange(JOINED_BYTES, ends[len(joined) - 1] if joined else 0, JOINED_BYTES))
+        cuts = [0, *np.unique(cuts).tolist(), len(joined)]
+        texts = [b"".join(joined[x:y]) for x, y in zip(cuts[:-1], cuts[1:]) if x < y] + alone
+        coded = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(code.ids for code in coded), np.uint32)
+        reached = np.cumsum(self.bytes_of[ids])
+        if len(ids) and reached[-1] != ends[-1]:  # bytes that are no UTF-8 were replaced
+            each = [self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids for piece in [*joined, *alone]]
+            return np.array([i for one in each for i in one], np.uint32), np.array([len(one) for one in each])
+        return ids, np.diff(np.append(0, np.searchsorted(reached, ends, "right")))
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes], joins: np.ndarray) -> None:
         """Remembers the ids of new pieces, given in the order of their hashes."""
-        ids, size = self.ids_of(pieces)
-        new = keys, self.n_flat + np.cumsum(size) - size, size.astype(np.int32)
+        order = np.argsort(~joins, kind="stable")
+        n = int(joins.sum())
+        ids, sizes = self.ids_of([pieces[i] for i in order[:n].tolist()], [pieces[i] for i in order[n:].tolist()])
+        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
+        begin[order], size[order] = self.n_flat + np.cumsum(sizes) - sizes, sizes
+        new = keys, begin, size
         self.flat.append(ids.astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32))
         self.n_flat += len(ids)
         to = np.searchsorted(self.known[1][0], keys)
@@ -184,9 +186,11 @@ class Encoder:
         letter = ((data | 32) >= 97) & ((data | 32) <= 122)
         opens = np.zeros(len(data) + 1, bool)
         opens[:-2] = (data[:-1] == 32) & letter[1:]
+        opens[1:-1] |= letter[:-1] & _MARK[data[1:]]
         # A space that ends its text has the next text's letter after it.
         last = bounds[1:-1] - 1
-        opens[last[last >= 0]] = False
+        last = last[last >= 0]
+        opens[last[data[last] == 32]] = False
         opens[bounds[:-1]] = True
         starts = np.flatnonzero(opens[:-1])
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
@@ -200,7 +204,9 @@ class Encoder:
                 self.clear()
                 new = np.arange(len(unique))
             raw = data.tobytes()
-            self.learn(unique[new], [raw[a:b] for a, b in zip(starts[seen[new]].tolist(), ends[seen[new]].tolist())])
+            at = starts[seen[new]]
+            joins = (data[at] == 32) & letter[np.minimum(at + 1, len(data) - 1)] & (ends[seen[new]] > at + 1)
+            self.learn(unique[new], [raw[a:b] for a, b in zip(at.tolist(), ends[seen[new]].tolist())], joins)
         begin, size = (x[back] for x in self.find(unique))
         total = np.cumsum(size)
         if len(self.flat) > 1:
