@@ -195,15 +195,6 @@ def first_distinct(suggestions: Column, n: int) -> Column:
     return F.slice(F.array_distinct(suggestions), 1, n)
 
 
-def greedy_variants(base: Column) -> Column:
-    """Three suggestions from one: shortened if it is long, completed if it is short."""
-    half, third = F.floor(F.length(base) / 2).cast("int"), F.floor(F.length(base) / 3).cast("int")
-    shorter = F.array(base, F.substring(base, F.lit(1), half), F.substring(base, F.lit(1), third))
-    return F.when(F.length(base) > 10, shorter).otherwise(
-        F.array(base, F.concat(base, F.lit("()")), F.concat(base, F.lit(":")))
-    )
-
-
 def last_line(code: Column) -> Column:
     return F.substring_index(code, "\n", -1)
 

@@ -1,4 +1,4 @@
-"""Suggestion ranking, candidate choice, positions in findings, message matching."""
+"""Suggestion ranking, positions in findings, message matching."""
 
 from __future__ import annotations
 
@@ -8,66 +8,6 @@ from pyspark.sql import functions as F
 from codeloom.functions import assist as fa
 from codeloom.functions import text as tx
 
-# Stock completions by language.
-STOCK_COMPLETIONS = {
-    "python": [
-        "print('Hello, World!')",
-        "def __init__(self):",
-        "if __name__ == '__main__':",
-        "return result",
-        "except Exception as e:",
-        "for i in range(len(items)):",
-        "with open('file.txt', 'r') as f:",
-        "import numpy as np",
-        "class MyClass:",
-        "async def process_data():",
-    ],
-    "javascript": [
-        "console.log('Hello, World!');",
-        "function() {",
-        "const result = ",
-        "return new Promise(",
-        "} catch (error) {",
-        "for (let i = 0; i < array.length; i++) {",
-        "addEventListener('click', () => {",
-        "import React from 'react';",
-        "export default class",
-        "async function fetchData()",
-    ],
-    "java": [
-        'System.out.println("Hello, World!");',
-        "public class MyClass {",
-        "public static void main(String[] args) {",
-        "private static final",
-        "} catch (Exception e) {",
-        "for (int i = 0; i < array.length; i++) {",
-        "new ArrayList<>()",
-        "import java.util.*;",
-        "public void method() {",
-        "@Override",
-    ],
-    "default": [
-        "// TODO: Implement this",
-        "/* Comment */",
-        "function main() {",
-        "return 0;",
-        "end",
-        "class Example",
-        "if condition:",
-        "else:",
-        "while loop:",
-        "break;",
-    ],
-}
-
-# Words a fitting completion holds, by context of the last line.
-CONTEXT_WORDS = {
-    "function": ["return", "if", "for", "try"],
-    "class": ["def", "__init__", "self"],
-    "import": ["import"],
-    "output": ["print", "console.log", "System.out"],
-}
-
 # How long a request waits for its reply, in seconds.
 TIMEOUTS = {"completion_request": 10, "chat_request": 15}
 REPLY_TYPES = {"completion_request": "completion_response", "chat_request": "chat_response"}
@@ -94,43 +34,6 @@ def ranked_suggestions(suggestions: Column, scores: Column) -> Column:
     return F.slice(usable, 1, MAX_SHOWN)
 
 
-def candidates(code: Column, language: Column, key: Column, n: int = 3) -> Column:
-    """Up to ``n`` stock completions that fit the last line, topped up from the rest.
-
-    Where a random pick is meant, candidates are ordered by a hash of the
-    request's key, so that a rerun gives the same list.
-    """
-    def stock(name: str) -> Column:
-        return F.array(*[F.lit(c) for c in STOCK_COMPLETIONS[name]])
-
-    pool = stock("default")
-    for name in STOCK_COMPLETIONS:
-        if name != "default":
-            pool = F.when(F.lower(language) == name, stock(name)).otherwise(pool)
-
-    def fits(candidate: Column, context: Column) -> Column:
-        ok = F.lit(True)
-        for name, words in CONTEXT_WORDS.items():
-            ok = F.when(context == name, tx.contains_any(candidate, words)).otherwise(ok)
-        return ok
-
-    def pick(request: Column) -> Column:
-        shuffled = F.transform(
-            F.sort_array(
-                F.transform(
-                    request["pool"],
-                    lambda c: F.struct(F.md5(F.concat(request["key"], F.lit("|"), c)).alias("place"), c.alias("c")),
-                )
-            ),
-            lambda s: s["c"],
-        )
-        chosen = F.slice(F.filter(shuffled, lambda c: fits(c, request["context"])), 1, n)
-        return F.slice(F.concat(chosen, F.array_except(shuffled, chosen)), 1, n)
-
-    request = F.struct(pool.alias("pool"), fa.line_context(code).alias("context"), key.cast("string").alias("key"))
-    return tx.let(request, pick)
-
-
 def findings_at(positions: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     """First finding (by ``rule_no``) whose range holds the position.
 

@@ -132,9 +132,7 @@ def rank_confidence(spark, sf_dir):
 
 @query(
     """SELECT doc_id, md5(array_to_string(list_concat(l, ['', '', ''])[1:3], '|')) AS padded,
-        md5(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:3], '|')) AS different,
-        CASE WHEN length(text) > 10 THEN md5(concat(text, '|', text[1:length(text) // 2], '|', text[1:length(text) // 3]))
-          ELSE md5(concat(text, '|', text, '()|', text, ':')) END AS variants
+        md5(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:3], '|')) AS different
       FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)"""
 )
 def pad_suggestions(spark, sf_dir):
@@ -143,7 +141,6 @@ def pad_suggestions(spark, sf_dir):
         "doc_id",
         F.md5(F.array_join(fa.pad_suggestions(lines, 3), "|")).alias("padded"),
         F.md5(F.array_join(fa.first_distinct(lines, 3), "|")).alias("different"),
-        F.md5(F.array_join(fa.greedy_variants(F.col("text")), "|")).alias("variants"),
     )
 
 
@@ -241,33 +238,6 @@ def error_tips(spark, sf_dir):
     return errors.select("doc_id", fa.error_tip(F.col("message"), F.col("language")).alias("tip"))
 
 
-def pools_sql() -> str:
-    rows = [
-        f"SELECT '{name}' AS pool, {quoted(c)} AS c" for name, values in assist.STOCK_COMPLETIONS.items() for c in values
-    ]
-    return " UNION ALL ".join(rows)
-
-
-FITS_SQL = "CASE context " + " ".join(
-    f"WHEN '{name}' THEN {any_sql('c', words)}" for name, words in assist.CONTEXT_WORDS.items()
-) + " ELSE true END"
-
-
-@query(
-    f"""{FILES_CTE}, pools AS ({pools_sql()}),
-      asked AS (SELECT doc_id, CASE WHEN language IN ('python', 'javascript', 'java') THEN language ELSE 'default' END AS pool,
-        {class_sql("string_split(trim(text, chr(10)), chr(10))[-1]", fa.LINE_WORDS)} AS context FROM files),
-      placed AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY ({FITS_SQL}) DESC, md5(concat(doc_id, '|', c))) - 1 AS place
-        FROM asked JOIN pools USING (pool))
-      SELECT doc_id, place, c AS candidate FROM placed WHERE place < 3"""
-)
-def candidates_by_context(spark, sf_dir):
-    """Three stock completions per file, with the cursor on its last written line."""
-    written = F.btrim("text", F.lit("\n"))
-    picked = assist.candidates(written, F.col("language"), F.col("doc_id"))
-    return tx.unnest(files(spark, sf_dir), picked, "doc_id", pos="place", item="candidate")
-
-
 @query(
     f"""{lint_sql()}, cursors AS (SELECT doc_id, line_no AS line, doc_id % 20 AS col FROM lined)
       SELECT doc_id, line AS position_id, code, severity, message, CASE severity WHEN 2 THEN 'ℹ️ Info' WHEN 3 THEN '💡 Hint' END AS label

@@ -109,11 +109,6 @@ def quality_flags(spark, sf_dir):
     return code_files(spark, sf_dir).select("doc_id", *[flag.alias(name) for name, flag in flags.items()])
 
 
-@query(f"{FILES_CTE} SELECT doc_id, {VALID_SQL} AS valid_syntax FROM files")
-def python_syntax_valid(spark, sf_dir):
-    return code_files(spark, sf_dir).select("doc_id", corpus.syntax_valid(F.col("text")).alias("valid_syntax"))
-
-
 @query(
     f"""{FILES_CTE}, scored AS (SELECT doc_id, {POINTS_SQL} + CASE WHEN {VALID_SQL} THEN 2 ELSE 0 END AS points FROM files)
       SELECT doc_id, points, points / 6.0::double AS quality_score FROM scored"""

@@ -25,6 +25,9 @@ def written_records(spark, sf_dir) -> str:
     line = (
         F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit('{"id": "broken '), "doc_id"))
         .when(F.col("doc_id") % 10 == 7, F.concat(F.lit('{"id": "doc_'), "doc_id", F.lit('", "content": 7}')))
+        .when(F.col("doc_id") % 20 == 3, F.to_json(F.struct("id", "path", F.lit(5).alias("content"), "code")))
+        .when(F.col("doc_id") % 20 == 13, F.to_json(F.struct("id", F.array("doc_id").alias("path"), "content", "code")))
+        .when(F.col("doc_id") % 20 == 1, F.to_json(F.struct("id", "path", F.lit(0).alias("content"), "code")))
         .when(F.col("doc_id") % 10 == 5, F.concat(F.lit("["), "doc_id", F.lit("]")))
         .otherwise(good)
     )
@@ -35,7 +38,7 @@ def written_records(spark, sf_dir) -> str:
 
 @query(
     f"""{FILES_CTE} SELECT concat('doc_', doc_id) AS id, language, length(text) AS n_chars, CAST(NULL AS varchar) AS rejected FROM files
-        WHERE doc_id % 10 NOT IN (5, 7, 9) AND {FILTER_SQL}
+        WHERE doc_id % 10 NOT IN (3, 5, 7, 9) AND {FILTER_SQL}
       UNION ALL SELECT NULL, NULL, NULL, concat('{{"id": "broken ', doc_id) FROM documents WHERE doc_id % 10 = 9
       UNION ALL SELECT NULL, NULL, NULL, concat('[', doc_id, ']') FROM documents WHERE doc_id % 10 = 5"""
 )
@@ -52,7 +55,7 @@ TOKENS_LEN = "len(" + tokens_sql("concat('<|code|>', text, '<|endoftext|>')") +
 
 @query(
     f"""{FILES_CTE} SELECT language, count(*) AS n_rows, CAST(sum(least(512, {TOKENS_LEN})) AS bigint) AS n_tokens,
-        count(*) FILTER ({TOKENS_LEN} > 512) AS n_truncated FROM files WHERE doc_id % 10 NOT IN (5, 7, 9) AND {FILTER_SQL} GROUP BY language"""
+        count(*) FILTER ({TOKENS_LEN} > 512) AS n_truncated FROM files WHERE doc_id % 10 NOT IN (3, 5, 7, 9) AND {FILTER_SQL} GROUP BY language"""
 )
 def build_corpus_job(spark, sf_dir):
     """Raw JSONL to the written split set, summed up per language."""

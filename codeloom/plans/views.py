@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import pinned
 
-# Code files made from every document: the template depends on the id, every
+# Code files made from every document: the template depends on the id and carries
+# the whole text (in a comment, a docstring or as it is), every
 # third path is blank so that language detection has to look at the content.
 CODE_PATH = """CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('src/f_', CAST(doc_id AS string),
     CASE CAST(doc_id % 8 AS int) WHEN 0 THEN '.py' WHEN 1 THEN '.PY' WHEN 2 THEN '.py' WHEN 3 THEN '.js'
@@ -20,10 +21,10 @@ CODE_PATH = """CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('src/f_', CAST(doc_i
 CODE_TEXT = """CASE CAST(doc_id % 8 AS int)
   WHEN 0 THEN concat('import os', chr(10), chr(10), 'def f_', CAST(doc_id AS string), '(x):', chr(10), '    \"\"\"', translate(text, concat(chr(10), chr(13), chr(34), chr(92)), '    '), '\"\"\"', chr(10), '    y = x + ', CAST(doc_id % 7 AS string), chr(10), '    return y', chr(10))
   WHEN 1 THEN concat('import sys', chr(10), 'def g_', CAST(doc_id AS string), '(x', chr(10), '    return x', chr(10), '# ', translate(text, concat(chr(10), chr(13)), '  '), chr(10), 'print x', chr(10))
-  WHEN 2 THEN concat('class C_', CAST(doc_id AS string), ':', chr(10), '    def m(self):', chr(10), '        print self', chr(10), chr(10), '    def n(self) -> int:', chr(10), '        return 1', chr(10))
-  WHEN 3 THEN concat('function h_', CAST(doc_id AS string), '(a) {', chr(10), '  // note', chr(10), '  var b = a;', chr(10), '  if (a == b) { return 1; }', chr(10), '  return b !== 2;', chr(10), '}', chr(10), 'const k = (z) => z;', chr(10), 'class K_', CAST(doc_id AS string), ' {}')
-  WHEN 4 THEN concat('import java.util.*;', chr(10), 'public class J_', CAST(doc_id AS string), ' {', chr(10), '  public static void main(String[] a) {', chr(10), '    int n = ', CAST(doc_id % 11 AS string), ';', chr(10), '  }', chr(10), '}')
-  WHEN 5 THEN concat('#include <stdio.h>', chr(10), 'int main(void) {', chr(10), '  /* ', CAST(doc_id AS string), ' */', chr(10), '  return 0;', chr(10), '}', chr(10))
+  WHEN 2 THEN concat('class C_', CAST(doc_id AS string), ':', chr(10), '    def m(self):', chr(10), '        print self', chr(10), chr(10), '    def n(self) -> int:', chr(10), '        return 1', chr(10), '# ', translate(text, concat(chr(10), chr(13)), '  '), chr(10))
+  WHEN 3 THEN concat('function h_', CAST(doc_id AS string), '(a) {', chr(10), '  // ', translate(text, concat(chr(10), chr(13)), '  '), chr(10), '  var b = a;', chr(10), '  if (a == b) { return 1; }', chr(10), '  return b !== 2;', chr(10), '}', chr(10), 'const k = (z) => z;', chr(10), 'class K_', CAST(doc_id AS string), ' {}')
+  WHEN 4 THEN concat('import java.util.*;', chr(10), 'public class J_', CAST(doc_id AS string), ' {', chr(10), '  public static void main(String[] a) {', chr(10), '    int n = ', CAST(doc_id % 11 AS string), ';', chr(10), '    // ', translate(text, concat(chr(10), chr(13)), '  '), chr(10), '  }', chr(10), '}')
+  WHEN 5 THEN concat('#include <stdio.h>', chr(10), 'int main(void) {', chr(10), '  /* ', CAST(doc_id AS string), ' ', translate(text, concat(chr(10), chr(13)), '  '), ' */', chr(10), '  return 0;', chr(10), '}', chr(10))
   WHEN 6 THEN concat('# T', CAST(doc_id AS string), chr(10), text, chr(10), chr(10), '## A', chr(10), chr(10), text, chr(10), chr(10), text)
   ELSE text END"""
 

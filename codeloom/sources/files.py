@@ -15,19 +15,40 @@ RECORD_FIELDS = ("id", "path", "content", "code", "language", "license")
 def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Record fields of JSON lines, and ``rejected``: the line itself if it is no JSON object.
 
-    A text field only counts if the JSON value is a string; a number or an
-    object in its place reads as missing.
+    An empty ``content`` (null, "", 0, false, [] or {}) leaves the choice to
+    ``code``. A record whose chosen text, or whose path, is neither empty nor a string
+    has no text: ``content`` and ``code`` are both NULL.
     """
     variant = tx.pinned(lines, _v=F.try_parse_json(F.col(value)))
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
 
+    # Fields and their kinds are computed once; the rules below read columns only.
+    chosen_from = ("content", "code", "path")
+    fields = {f"_f_{name}": F.try_variant_get("_v", f"$.{name}", "variant") for name in chosen_from}
+    variant = tx.pinned(variant, **fields)
+    read = {f"_t_{name}": F.when(F.schema_of_variant(f"_f_{name}") == "STRING", F.try_variant_get("_v", f"$.{name}", "string")) for name in chosen_from}
+    zero = {f"_z_{name}": F.when(F.schema_of_variant(f"_f_{name}") != "STRING", F.try_variant_get("_v", f"$.{name}", "double")) == 0 for name in chosen_from}
+    empty = {f"_e_{name}": F.coalesce(F.to_json(f"_f_{name}").isin('""', "false", "[]", "{}", "null"), F.lit(True)) for name in chosen_from}
+    variant = tx.pinned(variant, **read, **zero, **empty)
+
     def text_field(name: str) -> Column:
+        if name in chosen_from:
+            return F.col(f"_t_{name}")
         field = F.try_variant_get("_v", f"$.{name}", "variant")
         return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get("_v", f"$.{name}", "string"))
 
+    def filled(name: str) -> Column:
+        return ~F.col(f"_e_{name}") & ~F.coalesce(F.col(f"_z_{name}"), F.lit(False))
+
+    def usable(name: str) -> Column:
+        return ~filled(name) | text_field(name).isNotNull()
+
+    content = F.when(usable("path") & filled("content"), text_field("content"))
+    code = F.when(usable("path") & usable("content"), text_field("code"))
+    chosen = {"content": content, "code": code}
     rejected = F.when(F.col("_v").isNull() | ~is_object, F.col(value))
     keep = [name for name in lines.columns if name != value]
-    return variant.select(*keep, *[text_field(name).alias(name) for name in RECORD_FIELDS], rejected.alias("rejected"))
+    return variant.select(*keep, *[chosen.get(name, text_field(name)).alias(name) for name in RECORD_FIELDS], rejected.alias("rejected"))
 
 
 def scan_jsonl(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,15 +22,6 @@ def test_ranked_suggestions(spark):
     ]
 
 
-def test_candidates_fit_the_line_and_are_topped_up(spark):
-    df = spark.createDataFrame([("import a", "python"), ("class A", "Java"), ("x", "cobol")], "code string, language string")
-    got = [r.c for r in df.select(assist.candidates(F.col("code"), F.col("language"), F.lit(1), 3).alias("c")).collect()]
-    assert got[0][0] == "import numpy as np" and len(set(got[0])) == 3
-    assert set(got[0]) <= set(assist.STOCK_COMPLETIONS["python"])
-    assert set(got[1]) <= set(assist.STOCK_COMPLETIONS["java"])
-    assert set(got[2]) <= set(assist.STOCK_COMPLETIONS["default"])
-
-
 def test_findings_at_positions(spark):
     findings = spark.createDataFrame(
         [("f", 0, 0, 200, 5, 1, "wide", 0, "m"), ("f", 70, 2, 70, 8, 0, "narrow", 1, "m"), ("g", 0, 0, 0, 9, 0, "other", 2, "m")],

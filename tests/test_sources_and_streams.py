@@ -20,13 +20,13 @@ def test_jsonl_scan(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     lines = [
         json.dumps({"id": "1", "content": "é\n", "path": "a.py", "more": [1]}), "{broken", "[1]", json.dumps({"code": "x", "content": ""}),
-        json.dumps({"content": 5, "code": "y"}), "", '"text"',
+        json.dumps({"content": 5, "code": "y"}), json.dumps({"content": 0, "code": "z"}), json.dumps({"content": "q", "path": [1]}), "", '"text"',
     ]
     (tmp_path / "deep" / "a.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
     (tmp_path / "b.json").write_text("{}")
     good, rejected = files.split_rejects(files.scan_jsonl(spark, str(tmp_path)))
     assert sorted((r.id, r.path, r.content, r.code) for r in good.collect() if r.id) == [("1", "a.py", "é\n", None)]
-    assert sorted((r.content or "", r.code) for r in good.collect() if not r.id) == [("", "x"), ("", "y")]
+    assert sorted((r.content or "", r.code or "") for r in good.collect() if not r.id) == [("", ""), ("", ""), ("", "x"), ("", "z")]
     assert sorted(r.rejected for r in rejected.collect()) == ["", '"text"', "[1]", "{broken"]
 
 

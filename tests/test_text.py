@@ -89,9 +89,6 @@ def test_assist_rules(spark):
     assert values(spark, raw, fa.clean_suggestion) == ["a", "b", "", "```javascript c", "d", "", "e"]
     strict = values(spark, raw, lambda c: fa.clean_suggestion(c, strict_compat=True))
     assert strict == ["python\na", "b", "", "c", "d", "typescript", "e"]
-    assert values(spark, ["abcdefghijkl", "short"], fa.greedy_variants) == [
-        ["abcdefghijkl", "abcdef", "abcd"], ["short", "short()", "short:"],
-    ]
     assert values(spark, [0.85, 0.005, 0.995], fa.percent_title, "double") == [
         "Suggestion (85%)", "Suggestion (1%)", "Suggestion (100%)",
     ]
