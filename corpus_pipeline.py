@@ -9,14 +9,12 @@ from codeloom.llm import decontaminate, language, minhash, mixture, rows, token_
 from codeloom.llm.queries import END_ID, tokenizer_path
 from codeloom.sources.tables import saved
 
-LEAST_SCORE = 0.2  # cosine with the nearest language below which a text is no language
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those near no language, go."""
+    """Texts without letters go; a low cosine alone rejects none, as short clean texts have one too."""
     model = language.prototypes(docs.filter(rows.crc_bucket("doc_id", 4) != 2))
-    found, (lang, score) = language.predict(docs, model)
-    return found.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    found, (lang, _) = language.predict(docs, model)
+    return found.filter(F.col(lang) != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
