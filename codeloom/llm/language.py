@@ -27,6 +27,7 @@ from codeloom.llm import rows, words as w
 DIMENSIONS = 512
 MOST_LANGUAGES = 1000
 _LETTERS = 64
+TOGETHER = 256  # texts whose runs are counted in one table
 #: Letter number of a byte: 0 for others, 1-26, then continuation bytes by low bits; lead bytes are passed over.
 _NUMBER = np.zeros(256, np.uint8)
 _NUMBER[0x41:0x5B] = _NUMBER[0x61:0x7B] = np.arange(1, 27)
@@ -55,14 +56,21 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[whole], owner[:-2][whole]
 
 
-def counts(code: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that occur, and how often in each of ``n`` texts."""
+def bundles(code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Vectors of ``n`` texts from their runs, given text by text."""
+    out = np.zeros((n, DIMENSIONS), np.float32)
     seen = np.zeros(_LETTERS**3, bool)
     seen[code] = True
-    place = np.cumsum(seen) - 1
     present = np.flatnonzero(seen)
-    table = np.bincount(owner.astype(np.int64) * len(present) + place[code], minlength=n * len(present))
-    return present, table.reshape(n, len(present))
+    place = (np.cumsum(seen) - 1)[code]
+    vectors = bound(present)
+    for first in range(0, n if len(present) else 0, TOGETHER):
+        a, b = np.searchsorted(owner, [first, first + TOGETHER])
+        if a < b:
+            texts = min(TOGETHER, n - first)
+            table = np.bincount((owner[a:b] - first).astype(np.int64) * len(present) + place[a:b], minlength=texts * len(present))
+            out[first : first + texts] = table.reshape(texts, len(present)).astype(np.float32) @ vectors
+    return out
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +86,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, found in total.items():
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "code": pa.array(at.astype(np.int32)), "n": pa.array(found[at].astype(np.int64))})
+    w.release()
 
 
 def prototypes(labelled: DataFrame, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
@@ -116,8 +125,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             code, owner = runs(data, bounds)
             if not len(names):
                 continue
-            present, table = counts(code, owner, n)
-            bundle = table.astype(np.float32) @ bound(present) if len(present) else np.zeros((n, DIMENSIONS), np.float32)
+            bundle = bundles(code, owner, n)
             norm = np.sqrt((bundle * bundle).sum(axis=1))
             cosine = bundle @ profiles.T / np.where(norm > 0, norm, 1)[:, None]
             best[begin:end] = np.where(has, cosine.argmax(axis=1), -1)

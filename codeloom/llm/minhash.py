@@ -116,6 +116,7 @@ def _print_batches(size: int):
                         "bands": bands if isinstance(bands, pa.Array) else pa.array(bands, pa.list_(pa.int64())),
                     }
                 )
+        w.release()
 
     return run
 
@@ -127,6 +128,7 @@ def _set_batches(size: int):
                 found, first = _distinct(*shingles(data, bounds, size))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(begin, end - begin), "shingles": lists})
+        w.release()
 
     return run
 

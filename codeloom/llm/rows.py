@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from codeloom.llm import words as w
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front as long as the table has such a column."""
@@ -36,6 +38,7 @@ def with_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
             made = compute(batch.column(place))
             columns = [*batch.columns, *(pa.array(m, arrow.field(n).type) for m, n in zip(made, names))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        w.release()
 
     return df.mapInArrow(run, schema), names
 

@@ -32,7 +32,7 @@ SLOTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 #: Bits of every narrow value.
 _WIDTH = np.repeat(np.arange(NARROW + 1, dtype=np.uint8), [1, *(1 << k for k in range(NARROW))])
 _MARK = np.isin(np.arange(256), np.frombuffer(b".,:;", np.uint8))
-MEMO_PIECES = 1_500_000  # pieces whose ids a worker remembers before it starts anew
+MEMO_PIECES = 750_000  # pieces whose ids a worker remembers before it starts anew
 ROW_BYTES = 1 << 20
 JOINED_BYTES = 1 << 12
 
@@ -253,6 +253,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
                     }
                 )
                 piece += 1
+        w.release()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (

@@ -6,6 +6,7 @@ bytes; a text is never cut, whatever its length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) <= n:
-        size = max(n + 1, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES) + 1
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             row = np.full(size, base, np.uint64)
             row[0] = 1
@@ -108,6 +109,14 @@ def covered(n: int, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def release() -> None:
+    """Gives freed memory back to the system at a task's end: its worker stays for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_of(docs, text: str = "text"):
     """The bytes of a text column do not depend on its Spark type."""
     return docs[text].cast("string")
