@@ -273,6 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     pa.array([f[2] for f in found], arrow.field(names[2]).type),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=schema.names)
+            w.release()
 
         out = out.mapInArrow(run, schema)
     return out, names

@@ -35,6 +35,7 @@ _MARK = np.isin(np.arange(256), np.frombuffer(b".,:;", np.uint8))
 MEMO_PIECES = 750_000  # pieces whose ids a worker remembers before it starts anew
 ROW_BYTES = 1 << 20
 JOINED_BYTES = 1 << 12
+AT_ONCE = 128  # texts given to the tokenizer in one call
 
 FILE_SCHEMA = (
     "part int, piece int, doc_ids array<bigint>, counts binary, n bigint, words binary, block_at binary, escape_at binary, escape_high binary"
@@ -156,8 +157,9 @@ class Encoder:
         cuts = np.searchsorted(ends[: len(joined)], np.arange(JOINED_BYTES, ends[len(joined) - 1] if joined else 0, JOINED_BYTES))
         cuts = [0, *np.unique(cuts).tolist(), len(joined)]
         texts = [b"".join(joined[x:y]) for x, y in zip(cuts[:-1], cuts[1:]) if x < y] + alone
-        coded = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
-        ids = np.fromiter(itertools.chain.from_iterable(code.ids for code in coded), np.uint32)
+        coded = lambda some: self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in some], add_special_tokens=False)
+        flat = lambda some: np.fromiter(itertools.chain.from_iterable(code.ids for code in coded(some)), np.uint32)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(flat(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE))])
         reached = np.cumsum(self.bytes_of[ids])
         if len(ids) and reached[-1] != ends[-1]:  # bytes that are no UTF-8 were replaced
             each = [self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids for piece in [*joined, *alone]]

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20  # texts are taken together up to this size; a longer text stands alone
+HASH_BYTES = 1 << 18  # words are hashed together up to this size
 
 NON_SPACE = np.ones(256, bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False  # [^\x20\x09-\x0D]
@@ -37,7 +38,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) <= n:
-        size = max(n, CHUNK_BYTES) + 1
+        size = max(n, HASH_BYTES) + 1
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             row = np.full(size, base, np.uint64)
             row[0] = 1
@@ -80,12 +81,24 @@ def cut(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each byte range, by differences of one running sum."""
-    up, down = _powers_to(len(data))
+    """64-bit hash of each byte range, by differences of running sums; ranges are in order and do not overlap.
+
+    A hash does not depend on where its range lies, so runs of ranges are summed by themselves.
+    """
     letters = _LETTERS[LOWER] if lower else _LETTERS
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letters[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts])
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        end = max(first + 1, int(np.searchsorted(ends, starts[first] + HASH_BYTES, "right")))
+        begin = starts[first]
+        some = data[begin : ends[end - 1]]
+        up, down = _powers_to(len(some))
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(letters[some] * up[: len(some)], out=total[1:])
+        from_, to = starts[first:end] - begin, ends[first:end] - begin
+        out[first:end] = mixed((total[to] - total[from_]) * down[from_])
+        first = end
+    return out
 
 
 def windows(word_hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
