@@ -80,6 +80,11 @@ def in_time(request_type: Column, sent: Column, replied: Column) -> Column:
     return (replied >= sent) & (replied < sent + limit)
 
 
+def outcome(request_type: Column, reply_id: Column, reply_type: Column) -> Column:
+    """Status of a request by the reply that settled it, if one did."""
+    return F.when(reply_id.isNull(), "timeout").when(reply_fits(request_type, reply_type), "answered").otherwise("rejected")
+
+
 def match_replies(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with their outcome, and replies that no request was waiting for.
 
@@ -94,8 +99,7 @@ def match_replies(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, D
     pairs = sent.join(got.withColumnRenamed("request_id", "_to"), to_request, "left")
     first = F.min(F.struct("replied", "reply_id", "reply_type"))
     settled = pairs.groupBy("request_id", "request_type", "sent").agg(first.alias("_r"))
-    fits = reply_fits(F.col("request_type"), F.col("_r.reply_type"))
-    status = F.when(F.col("_r.reply_id").isNull(), "timeout").when(fits, "answered").otherwise("rejected")
+    status = outcome(F.col("request_type"), F.col("_r.reply_id"), F.col("_r.reply_type"))
     outcomes = settled.select("request_id", "request_type", F.col("_r.reply_id").alias("reply_id"), status.alias("status"))
     used = outcomes.filter("reply_id IS NOT NULL").select("request_id", "reply_id")
     return outcomes, got.join(used, ["request_id", "reply_id"], "left_anti")

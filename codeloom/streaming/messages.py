@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators.assist import in_time
+from codeloom.operators.assist import in_time, outcome
 from codeloom.schemas import COMPLETION_REQUEST
 from codeloom.session import shared_dir
 from codeloom.sources import tables
@@ -24,15 +24,23 @@ PING_SECONDS = 30
 DEBOUNCE = "150 milliseconds"
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
-    """Runs a stream over what its source holds now, and gives the table it wrote."""
+def drain(stream: DataFrame, purpose: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """Runs a stream over what its source holds now, and gives the table it wrote.
+
+    What the watermark has not passed stays in the state. ``end`` adds a row of a far
+    later time to the source, after which the stream goes on from its checkpoint
+    and gives out the rest; that row itself stays behind.
+    """
     spark = stream.sparkSession
     folder = shared_dir(spark, purpose)
-    run = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
-        .option("path", f"{folder}/rows").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    for add in (None,) if end is None else (None, end):
+        if add is not None:
+            add()
+        run = (
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+            .option("path", f"{folder}/rows").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -121,21 +129,26 @@ def debounce(events: DataFrame, payload: str, quiet: str = DEBOUNCE, late: str =
 
 
 def match_in_time(requests: DataFrame, replies: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Requests with their reply, or without one once its time limit has passed.
+    """Requests with their outcome, once their time limit has passed.
 
-    The time bound on both sides lets Spark drop the state of settled and of
-    expired requests. Of several replies with one id, the first to come counts.
+    The earliest reply within the request's time limit settles it, as in
+    ``match_replies``: answered if its type fits, else rejected; without one the
+    request timed out. The time bound on both sides lets Spark drop the state of
+    settled and of expired requests.
     """
     sent = requests.select("request_id", F.col("type").alias("request_type"), F.col("ts").alias("sent")).withWatermark("sent", late)
-    got = (
-        replies.select(F.col("request_id").alias("reply_to"), "reply_id", F.col("type").alias("reply_type"), F.col("ts").alias("replied"))
-        .withWatermark("replied", late)
-        .dropDuplicatesWithinWatermark(["reply_to"])
-    )
+    got = replies.select(
+        F.col("request_id").alias("reply_to"), "reply_id", F.col("type").alias("reply_type"), F.col("ts").alias("replied")
+    ).withWatermark("replied", late)
     longest = F.expr("INTERVAL 15 SECONDS")
     bounded = (F.col("replied") >= F.col("sent")) & (F.col("replied") <= F.col("sent") + longest)
     matches = (F.col("request_id") == F.col("reply_to")) & bounded & in_time(F.col("request_type"), F.col("sent"), F.col("replied"))
-    return sent.join(got, matches, "left_outer").select("request_id", "request_type", "sent", "reply_id", "reply_type")
+    first = F.min(F.when(F.col("replied").isNotNull(), F.struct("replied", "reply_id", "reply_type")))
+    settled = sent.join(got, matches, "left_outer").groupBy("request_id", "request_type", "sent").agg(first.alias("_r"))
+    return settled.select(
+        "request_id", "request_type", "sent", "_r.reply_id", "_r.reply_type",
+        outcome(F.col("request_type"), F.col("_r.reply_id"), F.col("_r.reply_type")).alias("status"),
+    )
 
 
 def heartbeats(messages: DataFrame, ping: Column, seconds: int = PING_SECONDS, late: str = "1 minute") -> DataFrame:

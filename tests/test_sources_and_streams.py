@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import jobs
+from codeloom.operators.assist import match_replies
 from codeloom.session import fits, shared_dir
 from codeloom.sources import files, tables
 from codeloom.streaming import messages as ms
@@ -119,14 +120,29 @@ def test_counters_and_heartbeats(spark):
 
 
 def test_request_timeout_stream(spark):
-    sent = [("a", "completion_request", at(0)), ("b", "chat_request", at(0)), ("c", "completion_request", at(0)), ("z", "chat_request", at(900))]
+    sent = [("a", "completion_request", at(5)), ("b", "chat_request", at(0)), ("c", "completion_request", at(0)), ("d", "chat_request", at(0)), ("z", "chat_request", at(900))]
     got = [
-        (1, "a", "completion_response", at(3)), (2, "b", "chat_response", at(14)), (3, "c", "completion_response", at(12)), (4, "x", "error", at(900)),
+        (1, "a", "completion_response", at(1)), (2, "a", "completion_response", at(8)), (3, "b", "error", at(12)), (4, "b", "chat_response", at(9)),
+        (5, "c", "completion_response", at(12)), (6, "d", "error", at(3)), (7, "d", "chat_response", at(4)), (8, "x", "error", at(900)),
     ]
-    s = stream_of(spark, spark.createDataFrame(sent, "request_id string, type string, ts timestamp"), "sent")
-    r = stream_of(spark, spark.createDataFrame(got, "reply_id int, request_id string, type string, ts timestamp"), "got")
-    rows = ms.drain(ms.match_in_time(s, r), "timeout-test").collect()
-    assert {x.request_id: x.reply_id for x in rows} == {"a": 1, "b": 2, "c": None}
+    sent = spark.createDataFrame(sent, "request_id string, type string, ts timestamp")
+    got = spark.createDataFrame(got, "reply_id int, request_id string, type string, ts timestamp")
+    expected = {"a": (2, "answered"), "b": (4, "answered"), "c": (None, "timeout"), "d": (6, "rejected")}
+    in_batch = {r.request_id: (r.reply_id, r.status) for r in match_replies(sent, got)[0].collect()}
+    assert in_batch == expected | {"z": (None, "timeout")}
+    assert {r.request_id: (r.reply_id, r.status) for r in ms.match_in_time(sent, got).collect()} == in_batch
+    rows = ms.drain(ms.match_in_time(stream_of(spark, sent, "sent"), stream_of(spark, got, "got")), "timeout-test").collect()
+    assert {r.request_id: (r.reply_id, r.status) for r in rows} == expected
+
+
+def test_drain_to_the_end(spark):
+    path = shared_dir(spark, "ended")
+    df = spark.createDataFrame(EVENTS, "user_id int, ts timestamp, payload string")
+    df.write.parquet(path)
+    last = spark.createDataFrame([(None, datetime(9999, 1, 1), None)], df.schema)
+    stream = ms.debounce(spark.readStream.schema(df.schema).parquet(path), "payload")
+    rows = ms.drain(stream, "ended-test", lambda: last.write.mode("append").parquet(path)).collect()
+    assert sorted(r.payload for r in rows) == ["b", "c", "d", "late"]
 
 
 def test_reconnect_delays(spark):
