@@ -101,4 +101,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_substring_dedup, op3_minhash_dedup, op4_decontamination, op5_embedding_dedup, op6_language_id, op7_mixture, op8_quality, op9_toxicity, op10_secret_scan)}
-CHECK_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The contracts stated plainly, by joins on the words themselves; what a model, a tokenizer or a draw decides is not SQL.
+CHECK_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+      places AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+      earliest AS (SELECT g, min(doc_id) AS lead FROM places GROUP BY g),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM places JOIN earliest USING (g) WHERE doc_id > lead),
+      single AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+      kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM single ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+      SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op3_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), least(len(ws), 1) + 1))) AS i FROM w WHERE len(ws) > 0)),
+      n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+      p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+      link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.k + y.k - c)),
+      step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+      reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, step.b FROM reach JOIN step ON reach.r = step.a)
+      SELECT doc_id, coalesce(max(k), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op4_decontamination": f"""WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+      b AS (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark),
+      wanted AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (
+        SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+      places AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (
+        SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM wanted) WHERE len(ws) >= n)),
+      met AS (SELECT doc_id, i, n, item_id FROM places JOIN wanted USING (n, g)),
+      hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+      items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item FROM met) GROUP BY doc_id)
+      SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
