@@ -1,14 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparing every pair of a label.
 
-A pass gives each vector a code of concatenated random-hyperplane hashes and orders
-the vectors of a label by it; near vectors share long prefixes and come to stand
-close. Each is compared with its next ``WINDOW`` neighbours, and what is verified
-is joined, over all passes. Codes end in the id, so equal vectors are dealt to
-several tasks like any others.
-
-The window bounds the comparisons that find groups, not the links: within each
-group found, all members are compared in blocks of about ``BLOCK`` vectors, so that
-every link of the group is counted, and no pair leaves its task.
+Equal vectors of a label are one node, which counts as often as it occurs. The nodes
+of a label are dealt to tiles, and each pair of tiles is multiplied in one task:
+no link is missed, however dense a label is. The work grows with the square
+of a label's distinct vectors; what leaves a task are a count for each node
+and the links that join groups of the two tiles, never the pairs.
 
 Vectors that are NULL, empty, zero or hold NULL or non-finite components, and those
 with a NULL label or vec_id, link with nothing. Vectors of different lengths do
@@ -29,18 +25,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.graph import components, smallest_places
 from codeloom.sources.tables import saved
 
-PASSES = 20
-HASHES = 60
-WINDOW = 32
-BLOCK = 512
-
-
-def _planes(dims: int) -> np.ndarray:
-    return np.random.default_rng([90_210, dims]).standard_normal((dims, PASSES * HASHES))
+SMALL = 512  # a label of so many nodes is one tile, and shares its task with others
+TILE_BYTES = 1 << 23
+CELLS = 1 << 21  # products held at a time
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, dims, unit vector and one code for each pass, of the vectors that can link."""
+    """vec_id, label, dims and unit vector of the vectors that can link."""
     for batch in batches:
         rows = batch.column(1)
         sizes = np.array([len(v) if v is not None else 0 for v in rows.to_pylist()], np.int64)
@@ -57,8 +48,6 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, at = x[good], at[good]
             if not len(at):
                 continue
-            sign = (x @ _planes(dims) > 0).reshape(len(at), PASSES, HASHES)
-            codes = sign.astype(np.int64) @ (np.int64(1) << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
             take = pa.array(at)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -66,52 +55,47 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "label": batch.column(2).take(take),
                     "dims": pa.array(np.full(len(at), dims, np.int32)),
                     "unit": pa.array([row.tobytes() for row in x], pa.binary()),
-                    "codes": pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * PASSES + 1, PASSES, dtype=np.int32)), pa.array(codes.ravel())),
                 }
             )
 
 
-def _neighbours(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pd.DataFrame | None = None
-        for batch in batches:
-            rows = batch.to_pandas()
-            if tail is not None:
-                rows = pd.concat([tail, rows], ignore_index=True)
-            tail = rows.iloc[-WINDOW:]
-            for _, group in rows.groupby(["turn", "label", "dims"], sort=False):
-                if len(group) < 2:
-                    continue
-                x = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
-                left, right = [], []
-                for step in range(1, min(WINDOW, len(group) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)
-                    left.append(hit)
-                    right.append(hit + step)
-                root = smallest_places(len(group), np.concatenate(left), np.concatenate(right))
-                moved = np.flatnonzero(root != np.arange(len(group)))
-                if len(moved):
-                    ids = group["vec_id"].to_numpy()
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[root[moved]], pa.int64())})
-
-    return run
-
-
-def _counts(threshold: float):
+def _met(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nodes of one tile, or of two: ids, links of each, and the place it is joined to."""
+    both = left if right is None else pd.concat([left, right], ignore_index=True)
+    first = len(both) if right is None else len(left)
+    x = np.frombuffer(b"".join(both["unit"]), np.float64).reshape(len(both), -1)
+    copies, root, n = both["copies"].to_numpy(np.int64), np.arange(len(both)), np.zeros(len(both), np.int64)
+    other = np.arange(0 if right is None else first, len(both))
+    step = max(1, CELLS // len(other))
+    for start in range(0, first, step):
+        mine = np.arange(start, min(start + step, first))
+        hit = x[mine] @ x[other].T >= threshold
+        if right is None:
+            hit[mine - start, mine] = True  # the copies of a node
+        # float64 sums of whole numbers are exact below 2**53, and go through BLAS.
+        n[mine] += (hit @ copies[other].astype(np.float64)).astype(np.int64)
+        if right is None:
+            n[mine] -= 1
+        else:
+            n[other] += (copies[mine].astype(np.float64) @ hit).astype(np.int64)
+        a, b = np.nonzero(hit & (root[mine][:, None] != root[other][None, :]))
+        if len(a):
+            joined = smallest_places(len(both), root[mine[a]], root[other[b]])
+            root = joined[root]
+    return both["vec_id"].to_numpy(), n, root
+
+
+def _links(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, same in rows.groupby("dims", sort=False):
-            left, right = same[same["side"] != 2], same[same["side"] != 1]
-            if not len(left) or not len(right):
+        out = [pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64")})]
+        for _, same in rows.groupby(["label", "dims"], sort=False):
+            left, right = same[same["side"] != 2], same[same["side"] == 2]
+            if same["side"].iloc[0] != 0 and not (len(left) and len(right)):
                 continue
-            y = np.frombuffer(b"".join(right["unit"]), np.float64).reshape(len(right), -1).T
-            for start in range(0, len(left), BLOCK):
-                part = left.iloc[start : start + BLOCK]
-                x = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
-                hit = (x @ y >= threshold) & (part["root"].to_numpy()[:, None] == right["root"].to_numpy()[None, :])
-                hit &= part["vec_id"].to_numpy()[:, None] != right["vec_id"].to_numpy()[None, :]
-                out.append(pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "n": hit.sum(axis=1).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+            ids, n, root = _met(left, right if len(right) else None, threshold)
+            found = np.flatnonzero((n > 0) | (root != np.arange(len(ids))))
+            out.append(pd.DataFrame({"vec_id": ids[found], "n": n[found], "other": ids[root[found]]}))
+        return pd.concat(out)
 
     return run
 
@@ -120,28 +104,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    coded = saved(usable.mapInArrow(_coded, "vec_id bigint, label string, dims int, unit binary, codes array<bigint>"), "coded")
+    coded = saved(usable.mapInArrow(_coded, "vec_id bigint, label string, dims int, unit binary"), "coded")
     if not coded.groupBy("vec_id").count().filter("count > 1").isEmpty():
         order = F.struct("label", "unit")
-        coded = saved(coded.groupBy("vec_id").agg(F.min_by(F.struct("label", "dims", "unit", "codes"), order).alias("_v")).select("vec_id", "_v.*"), "single")
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = ["turn", "label", "dims", "code", "vec_id"]
-    passes = coded.select("vec_id", "label", "dims", "unit", F.posexplode("codes").alias("turn", "code"))
-    ordered = passes.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    joined = components(ordered.mapInArrow(_neighbours(threshold), "a bigint, b bigint"))
+        coded = saved(coded.groupBy("vec_id").agg(F.min_by(F.struct("label", "dims", "unit"), order).alias("_v")).select("vec_id", "_v.*"), "single")
 
-    sizes = saved(joined.groupBy("root").agg(F.count(F.lit(1)).alias("_m")), "sizes")
+    equal = ["label", "dims", "unit"]
+    nodes = saved(coded.groupBy(*equal).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    sizes = saved(nodes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("_m")), "sizes")
     total = sizes.agg(F.sum("_m")).first()[0] or 0
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    members = joined.join(sizes, "root").join(coded.select(F.col("vec_id").alias("node"), "dims", "unit"), "node")
-    members = members.select(F.col("node").alias("vec_id"), "root", "dims", "unit", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("_i"))
-    bundles = max(1, total // BLOCK)
-    single = members.filter("_n = 1").select("vec_id", "root", "dims", "unit", F.pmod(F.xxhash64("root"), F.lit(bundles)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    # Up to four tiles, so that a label keeps more than one task busy; more where a tile would be large.
+    tiles = F.greatest(F.least(F.lit(4), F.ceil(F.col("_m") / SMALL)), F.ceil(F.col("_m") * F.col("dims") * 8 / TILE_BYTES)).cast("int")
+    members = nodes.join(sizes, ["label", "dims"]).withColumn("_n", tiles).withColumn("_i", F.pmod(F.xxhash64("node"), "_n").cast("int"))
+    named = lambda frame, g, i, j, side: frame.select(F.col("node").alias("vec_id"), "label", "dims", "unit", "copies", g.alias("g"), i.alias("i"), j.alias("j"), side.alias("side"))
+    bundles = max(1, total // SMALL)
+    single = named(members.filter("_n = 1"), F.pmod(F.xxhash64("label", "dims"), F.lit(bundles)), F.lit(-1), F.lit(-1), F.lit(0))
     each = members.filter("_n > 1").withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    large = [each.select("vec_id", "root", "dims", "unit", F.col("root").alias("g"), F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side")) for i, j, side in (("_i", "_j", 1), ("_j", "_i", 2))]
-    counted = single.union(large[0]).union(large[1]).groupBy("g", "i", "j").applyInPandas(_counts(threshold), "vec_id bigint, n bigint")
-    counted = counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    out = rows.select("vec_id").join(joined.withColumnsRenamed({"node": "vec_id", "root": "component_id"}), "vec_id", "left").join(counted, "vec_id", "left")
+    side = F.when(F.col("_i") == F.col("_j"), 0).when(F.col("_i") < F.col("_j"), 1).otherwise(2)
+    large = named(each, F.xxhash64("label", "dims"), F.least("_i", "_j"), F.greatest("_i", "_j"), side)
+    met = saved(single.union(large).groupBy("g", "i", "j").applyInPandas(_links(threshold), "vec_id bigint, n bigint, other bigint"), "met")
+
+    joined = components(met.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    counted = met.groupBy("vec_id").agg(F.sum("n").alias("n_links")).withColumnRenamed("vec_id", "node")
+    found = nodes.join(counted, "node", "left").join(joined, "node", "left").select(*equal, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    found = coded.join(found, equal).select("vec_id", "n_links", "component_id")
+    out = rows.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

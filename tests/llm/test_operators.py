@@ -129,6 +129,25 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_links_of_a_dense_label(spark, monkeypatch):
+    """Planted pairs in one hot topic, many copies of a vector, several tiles: every link of a full comparison."""
+    import numpy as np
+
+    random = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic = unit(unit(random.standard_normal(64)) + 0.42 * unit(random.standard_normal((6000, 64))))
+    x = np.concatenate([topic, unit(topic[:300] + 0.37 * unit(random.standard_normal((300, 64)))), np.repeat(topic[:1], 900, axis=0)])
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    places = graph.smallest_places(len(x), *np.nonzero(hit))
+    expected = sorted((i, int(n), int(r), i == r) for i, (n, r) in enumerate(zip(hit.sum(axis=1), places)))
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(5)
+    assert (places != np.arange(len(x))).sum() > 1100
+    for limit in (embeddings.TILE_BYTES, 1 << 19):
+        monkeypatch.setattr(embeddings, "TILE_BYTES", limit)
+        assert sorted(map(tuple, embeddings.near_vectors(frame).collect())) == expected
+
+
 def test_repeated_vectors_are_one(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
