@@ -29,9 +29,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    taken = mixture.mix(docs).filter("taken > 0")
-    times = saved(taken.groupBy("doc_id").agg(F.max(F.expr("CAST(taken DIV size AS int)")).alias("_times")), "times")
-    return docs.join(times, "doc_id").withColumn("_times", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    taken = mixture.drawn(docs, docs.columns).filter("size > 0 AND times > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1, CAST(times AS int))"))).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+from codeloom.llm import mixture
 from pyspark.sql import functions as F
 
 
@@ -25,3 +28,14 @@ def test_stages_take_odd_rows(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_rows_without_id_are_mixed_like_others(spark):
+    rows = [(i if i % 3 else None, " ".join(["word"] * (3 + i % 5) + [str(i)]), "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    found = Counter(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect()))
+    assert found == {tuple(r.row): r.times for r in mixture.drawn(docs, docs.columns).collect() if r.times}
+    total = sum(len(text.split()) for _, text, _ in rows)
+    for source, share in (("a", 1 / 3), ("b", 2 / 3)):
+        words = sum(n * len(text.split()) for (_, text, s), n in found.items() if s == source)
+        assert abs(words - share * total) <= 4
