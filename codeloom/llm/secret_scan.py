@@ -2,14 +2,16 @@
 
 The patterns give the base findings, which always stay. Candidates are these and every
 run of 16 or more characters of the alphabet of keys that has a letter and a
-digit. A convolutional network in numpy reads each candidate with the text around
-it and gives a probability; candidates that no base finding touches are added where it
-reaches the threshold, the largest that keeps the wanted recall on labelled findings
-held back from fitting, and at least a half.
+digit. A convolutional network in numpy reads each candidate, whole, with the text around
+it and gives a probability; candidates that reach beyond each base finding are added
+beside them where it reaches the threshold, the largest that keeps the wanted recall on
+labelled findings held back from fitting.
 
 It is fitted on labelled findings: (text, start, end, label) in code points. Those made
 by ``own_findings`` are candidates of the corpus, labelled 1 where a base pattern
-matches, in the texts of at most ``MOST`` documents. NULL texts are empty. Columns
+matches, in the texts of at most ``MOST`` documents, and 0 for long words and for runs whose
+pieces are each a word or a number, like ids, paths and versions. As a corpus may have few
+of these, some are also put together from its long words. NULL texts are empty. Columns
 are passed through.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -88,19 +91,43 @@ def long_words(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int
     return list(zip(owner.tolist(), starts[long].tolist(), ends[long].tolist()))
 
 
+def plain_runs(data: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of the runs in which no letter stands beside a digit."""
+    digit, letter = _DIGIT[data], _LETTER[data]
+    beside = np.append(0, np.cumsum((digit[1:] & letter[:-1]) | (letter[1:] & digit[:-1])))
+    return [(o, a, b) for o, a, b in runs if beside[b - 1] == beside[a]]
+
+
+def made_run(word: bytes) -> bytes:
+    """An id, path or version of the word's halves and a number, all set by the word."""
+    n, half = crc32(word), len(word) // 2
+    number, mark = str(n >> 8)[: 2 + n % 6], "_-/"[n % 3]
+    parts = [word[:half].decode("ascii"), word[half:].decode("ascii"), number]
+    return mark.join(parts if n & 64 else parts[::-1]).encode()
+
+
+def beyond(runs: list[tuple[int, int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of the runs that lie in no single base finding."""
+    if not base or not runs:
+        return runs
+    spans = np.array(sorted((a, b) for _, a, b, _ in base))
+    reach = np.append(-1, np.maximum.accumulate(spans[:, 1]))
+    last = reach[np.searchsorted(spans[:, 0], [a for _, a, _ in runs], "right")]
+    return [run for run, end in zip(runs, last.tolist()) if end < run[2]]
+
+
 def view(data: np.ndarray, low: int, high: int, start: int, end: int) -> np.ndarray:
-    """Characters of the candidate's begin and end with what stands around, as numbers; 0 beyond the text.
+    """Characters of the candidate with what stands around, as numbers; 0 beyond the text.
 
-    A candidate longer than the view keeps both ends.
+    A row is a window; those of a longer candidate overlap so far that every place of the convolution is in one.
     """
-    room = LENGTH - 2 * AROUND
-    inner = data[start:end] if end - start <= room else np.concatenate([data[start : start + room // 2], data[end - room // 2 : end]])
-    out = np.zeros(LENGTH, np.uint8)
-    before, after = data[max(low, start - AROUND) : start], data[end : min(high, end + AROUND)]
+    inner, before, after = data[start:end], data[max(low, start - AROUND) : start], data[end : min(high, end + AROUND)]
+    out = np.zeros(max(LENGTH, 2 * AROUND + len(inner)), np.uint8)
     out[AROUND - len(before) : AROUND] = _NUMBER[before]
     out[AROUND : AROUND + len(inner)] = _NUMBER[inner]
     out[AROUND + len(inner) : AROUND + len(inner) + len(after)] = _NUMBER[after]
-    return out
+    starts = np.append(np.arange(0, len(out) - LENGTH, LENGTH - REACH + 1), len(out) - LENGTH)
+    return out[starts[:, None] + np.arange(LENGTH)]
 
 
 @dataclass
@@ -115,22 +142,31 @@ class Network:
     shift: float = 0.0
     threshold: float = 0.5
 
-    def pooled(self, views: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n_places = views.shape[1] - REACH + 1
-        out = np.repeat(self.offset[None, None, :], len(views), 0).repeat(n_places, 1)
+    def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest value of each filter in each window, and its place."""
+        n_places = windows.shape[1] - REACH + 1
+        out = np.repeat(self.offset[None, None, :], len(windows), 0).repeat(n_places, 1)
         for step in range(REACH):
-            out += self.kernel[step][views[:, step : step + n_places]]
-        return np.maximum(out.max(axis=1), 0), out.argmax(axis=1)
+            out += self.kernel[step][windows[:, step : step + n_places]]
+        return out.max(axis=1), out.argmax(axis=1)
 
-    def output(self, views: np.ndarray) -> np.ndarray:
-        parts = [self.pooled(views[i : i + 1024])[0] @ self.weight + self.bias for i in range(0, len(views), 1024)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+    def output(self, views: list[np.ndarray]) -> np.ndarray:
+        if not views:
+            return np.zeros(0)
+        windows = np.concatenate(views)
+        top = np.concatenate([self.pooled(windows[i : i + 1024])[0] for i in range(0, len(windows), 1024)])
+        return np.maximum(np.maximum.reduceat(top, _heads(views)), 0) @ self.weight + self.bias
 
-    def probability(self, views: np.ndarray) -> np.ndarray:
+    def probability(self, views: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.output(views) + self.shift, -30, 30)))
 
 
-def train(views: np.ndarray, labels: np.ndarray, rounds: int = 8, pace: float = 0.02) -> Network | None:
+def _heads(views: list[np.ndarray]) -> np.ndarray:
+    """Number of each candidate's first window."""
+    return np.append(0, np.cumsum([len(v) for v in views])[:-1])
+
+
+def train(views: list[np.ndarray], labels: np.ndarray, rounds: int = 8, pace: float = 0.02) -> Network | None:
     """A calibrated network with its threshold; None without findings of both labels.
 
     One finding in four is held back for the calibration and the threshold.
@@ -140,12 +176,19 @@ def train(views: np.ndarray, labels: np.ndarray, rounds: int = 8, pace: float =
         return None
     random = np.random.default_rng(12)
     net = Network(random.normal(0, 0.1, (REACH, SYMBOLS, FILTERS)), np.zeros(FILTERS), random.normal(0, 0.3, FILTERS), 0.0)
-    x, y = views[~held], labels[~held].astype(float)
+    x, y = [v for v, h in zip(views, held) if not h], labels[~held].astype(float)
+    mine = [v for v, h in zip(views, held) if h]
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for turn in range(rounds):
         step = pace / (1 + turn / 2)
         for some in np.array_split(random.permutation(len(y)), max(1, len(y) // 64)):
-            top, place = net.pooled(x[some])
+            batch = [x[i] for i in some]
+            windows, heads = np.concatenate(batch), _heads(batch)
+            most, place = net.pooled(windows)
+            top = np.maximum.reduceat(most, heads)
+            equal = most == np.repeat(top, [len(v) for v in batch], axis=0)
+            window = np.minimum.reduceat(np.where(equal, np.arange(len(windows))[:, None], len(windows)), heads)
+            place, top = np.take_along_axis(place, window, axis=0), np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(top @ net.weight + net.bias, -30, 30)))
             slope = (p - y[some]) * balance[some]
             back = slope[:, None] * net.weight[None, :] * (top > 0)
@@ -153,9 +196,9 @@ def train(views: np.ndarray, labels: np.ndarray, rounds: int = 8, pace: float =
             net.bias -= step * slope.mean() * 4
             net.offset -= step * back.sum(axis=0) / len(some) * 4
             for reach in range(REACH):
-                symbols = np.take_along_axis(x[some], place + reach, axis=1)
+                symbols = windows[window, place + reach]
                 np.add.at(net.kernel[reach], (symbols, np.arange(FILTERS)[None, :]), -step * back / 4)
-    out, label = net.output(views[held]), labels[held].astype(float)
+    out, label = net.output(mine), labels[held].astype(float)
     curve = np.array([1.0, 0.0])
     for _ in range(50):
         a = np.stack([out, np.ones(len(out))], axis=1)
@@ -163,8 +206,8 @@ def train(views: np.ndarray, labels: np.ndarray, rounds: int = 8, pace: float =
         hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
         curve -= np.clip(np.linalg.solve(hessian, a.T @ (p - label) + 1e-2 * curve), -2, 2)
     net.slope, net.shift = float(curve[0]), float(curve[1])
-    good = np.sort(net.probability(views[held])[label == 1])
-    net.threshold = max(0.5, float(good[int((1 - RECALL) * len(good))]))
+    good = np.sort(net.probability(mine)[label == 1])
+    net.threshold = float(good[int((1 - RECALL) * len(good))])
     return net
 
 
@@ -177,16 +220,24 @@ def _labelled_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 taken[a:b] = True
             found = [(o, a, b, 1) for o, a, b, _ in base]
             values = [(o, a + ASSIGN.match(data[a:b].tobytes()).start(2), b, 1) for o, a, b, kind in base if kind == 0]
-            found += [(o, a, b, 0) for o, a, b in long_words(data, bounds) if not taken[a:b].any() and not _DIGIT[data[a:b]].any()]
+            words = [(o, a, b) for o, a, b in plain_runs(data, long_words(data, bounds)) if not taken[a:b].any()]
+            found += [(o, a, b, 0) for o, a, b in words]
             if found:
                 views = [view(data, bounds[o], bounds[o + 1], a, b) for o, a, b, _ in found]
                 # Once more without what stands around, so that a key is known by itself too.
                 found += [*found, *values]
                 views += [view(data, a, b, a, b) for _, a, b, _ in found[len(views) :]]
+                for o, a, b in words:
+                    if not _DIGIT[data[a:b]].any():
+                        made = np.frombuffer(made_run(data[a:b].tobytes()), np.uint8)
+                        low, high = max(bounds[o], a - AROUND), min(bounds[o + 1], b + AROUND)
+                        around = np.concatenate([data[low:a], made, data[b:high]])
+                        views.append(view(around, 0, len(around), a - low, a - low + len(made)))
+                        found.append((o, a, b, 0))
                 yield pa.RecordBatch.from_pydict({"label": pa.array([f[3] for f in found], pa.int32()), "view": pa.array([v.tobytes() for v in views], pa.binary())})
 
 
-def own_findings(docs: DataFrame, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def own_findings(docs: DataFrame, most: int = MOST) -> tuple[list[np.ndarray], np.ndarray]:
     """Views and labels of findings in the ``most`` documents of least hash of their id."""
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most).distinct()
     texts = docs.select("doc_id", w.text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")
@@ -194,7 +245,7 @@ def own_findings(docs: DataFrame, most: int = MOST) -> tuple[np.ndarray, np.ndar
     # At most ``most`` views of either label, those of least digest.
     parts = [found.filter(F.col("label") == k).distinct().orderBy(F.md5("view"), "view").limit(most // 4).collect() for k in (1, 0)]
     got = sorted((r for part in parts for r in part), key=lambda r: bytes(r["view"])[::-1])
-    views = np.frombuffer(b"".join(bytes(r["view"]) for r in got), np.uint8).reshape(len(got), LENGTH)
+    views = [np.frombuffer(r["view"], np.uint8).reshape(-1, LENGTH) for r in got]
     return views, np.array([r["label"] for r in got], np.int64)
 
 
@@ -206,13 +257,10 @@ def scan(docs: DataFrame, network: Network | None, text: str = "text") -> tuple[
         net, out = shared.value, []
         for begin, end, data, bounds in w.chunks(texts.cast(pa.string())):
             base = base_findings(data, bounds)
-            taken = np.zeros(len(data) + 1, bool)
-            for _, a, b, _ in base:
-                taken[a:b] = True
-            found = [*base, *((o, a, b, 3) for o, a, b in wide_candidates(data, bounds) if net and not taken[a:b].any())]
+            found = [*base, *((o, a, b, 3) for o, a, b in beyond(wide_candidates(data, bounds), base) if net)]
             score: list = [None] * len(found)
             if net and found:
-                views = np.stack([view(data, bounds[o], bounds[o + 1], a, b) for o, a, b, _ in found])
+                views = [view(data, bounds[o], bounds[o + 1], a, b) for o, a, b, _ in found]
                 score = net.probability(views).tolist()
             mine: list[list] = [[] for _ in range(end - begin)]
             points: dict[int, np.ndarray] = {}

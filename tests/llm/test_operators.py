@@ -245,6 +245,32 @@ def test_network_adds_unlisted_keys(spark):
     assert kinds == {1: [("network", 13, 53)], 2: [], 3: []}
 
 
+def test_network_judges_whole_candidates(spark):
+    """Keys round a base finding and inside long runs are found; ids, paths and versions are not."""
+    import random
+
+    draw = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda n: "".join(draw.choice(chars) for _ in range(n))
+    words = ["extraordinarily", "antidisestablishment", "anotherlongishwording", "plainwordsthatarelong", "configuration", "implementation"]
+    rows = [(i, f"some {draw.choice(words)} here token = \"{made(30)}\" and {draw.choice(words)} {draw.choice(words)}{draw.choice(words)}") for i in range(400)]
+    network = secret_scan.train(*secret_scan.own_findings(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    around, inside = f"{made(12)}Z0123456789abcdef9Q{made(12)}", f"{'implementation/' * 4}{made(40)}{'/configuration' * 4}"
+    probe = spark.createDataFrame([(1, f"it is {around} ok"), (2, f"at {inside} ok"), (3, "at plainwords_configuration_20241 and implementation/configuration/1234 ok")], "doc_id bigint, text string")
+    found, (name,) = secret_scan.scan(probe, network)
+    kinds = {r.doc_id: [(f.kind, f.end - f.start) for f in r[name] if f.kind == "network"] for r in found.collect()}
+    assert kinds == {1: [("network", len(around))], 2: [("network", len(inside))], 3: []}
+
+
+def test_threshold_keeps_the_wanted_recall():
+    import numpy as np
+
+    views = [secret_scan.view(np.frombuffer(b"abcdefgh12345678", np.uint8), 0, 16, 0, 16)] * 400
+    labels = (np.arange(400) // 4 % 4 == 0).astype(np.int64)
+    network = secret_scan.train(views, labels)
+    assert network.probability(views[:1])[0] < 0.5 and (network.probability(views) >= network.threshold).all()
+
+
 def test_queries_return_the_contracts_columns(spark):
     columns = {
         "op1": "doc_id start n_tokens ids_crc32", "op2": "doc_id n_words n_removed kept_sha256", "op3": "doc_id n_shingles component_id kept",
