@@ -204,6 +204,17 @@ def test_mixture(request, which):
     assert again == sorted(map(tuple, found), key=key)
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    """A source of rows with one id and text, and one of rows without id, meet their targets."""
+    rows = [(7, "five words in this text", "a")] * 90 + [(None, "four words are here", "b")] * 60 + [(i, "one more", "c") for i in range(200)]
+    found = mixture.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)).collect()
+    assert len(found) == len(rows)
+    for size, target in ((5, 1090 / 6), (4, 1090 / 3)):
+        mine = [r for r in found if r.size == size]
+        assert {round(r.target, 6) for r in mine} == {round(target, 6)}
+        assert abs(sum(r.taken for r in mine) - target) <= size / 2
+
+
 def test_quality_and_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train = rows.crc_bucket("doc_id", 5) != 0
