@@ -154,3 +154,81 @@ def targets(sizes, weights=(1, 2, 3), most=3):
         if not above:
             return {s: share.get(s, most * sizes[s]) for s in order}
         capped |= above
+
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def common_lines(rows, min_docs=10, min_chars=1):
+    """(doc_id, n_lines, n_dropped, kept) of (doc_id, text); each row is a document."""
+    key = lambda line: lowered(line.strip(BLANKS))
+    split = [(doc, (text or "").split("\n")) for doc, text in rows]
+    seen = defaultdict(int)
+    for _, lines in split:
+        for k in {key(line) for line in lines}:
+            seen[k] += 1
+    bad = {k for k, n in seen.items() if n >= min_docs and len(k) >= min_chars}
+    kept = [(doc, lines, [line for line in lines if key(line) not in bad]) for doc, lines in split]
+    return [(doc, len(lines), len(lines) - len(rest), "\n".join(rest)) for doc, lines, rest in kept]
+
+
+def leaf(fields):
+    return sha("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _up(nodes, at):
+    """Levels above ``nodes`` to one node; gives it and the (before, after) steps of each place in ``at``."""
+    steps = {p: [] for p in at}
+    places = {p: p for p in at}
+    while len(nodes) > 1:
+        for p, q in places.items():
+            first = q // 3 * 3
+            steps[p].append(("".join(nodes[first:q]), "".join(nodes[q + 1 : first + 3])))
+            places[p] = q // 3
+        nodes = [sha("".join(nodes[i : i + 3])) for i in range(0, len(nodes), 3)]
+    return nodes[0], steps
+
+
+def merkle(rows, tampered):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text)."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append((r[0] is not None, r[0] or 0, leaf(r), leaf(tampered(r)), r[0]))
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    tops, ways = [], []
+    for name in names:
+        by_source[name].sort(key=lambda x: x[:3])
+        top, steps = _up([x[2] for x in by_source[name]], range(len(by_source[name])))
+        tops.append(top)
+        ways.append(steps)
+    if not tops:
+        return []
+    root, above = _up(tops, range(len(tops)))
+    out = []
+    for i, name in enumerate(names):
+        for p, (*_, own, node, doc) in enumerate(by_source[name]):
+            path = ways[i][p] + above[i]
+            for before, after in path:
+                node = sha(before + node + after)
+            out.append((doc, own, tops[i], root, sha("".join(a + b for a, b in path)), node, node == root))
+    return out
+
+
+def runs(words, min_length=12):
+    """(start, length, period) of all maximal repetitions, by comparing all pairs of places."""
+    n, found = len(words), {}
+    for q in range(1, n):
+        i = q
+        while i < n:
+            j = i
+            while j < n and words[j] == words[j - q]:
+                j += 1
+            if j > i and j - i + q >= max(min_length, 2 * q):
+                found.setdefault((i - q, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((a, size, q) for (a, size), q in found.items())
+
+
+def collapsed(words, found):
+    gone = {i for a, size, q in found for i in range(a + q, a + size)}
+    return " ".join(word for i, word in enumerate(words) if i not in gone)
