@@ -194,8 +194,8 @@ def manifest(table: DataFrame, height: int = HEIGHT) -> DataFrame:
     placed = saved(_block(placed, height), "merkle-placed")
 
     within = _layers(placed.select("grp", "pos", "node", "total"), height, "merkle-nodes")
-    tops = within[-1].select(F.col("grp").alias("pos"), "node").crossJoin(F.broadcast(sources.agg(F.count(F.lit(1)).alias("total"))))
-    across = _layers(tops.select(F.lit(0).cast("bigint").alias("grp"), "pos", "node", "total"), height, "merkle-subroots")
+    tops = within[-1].select(F.lit(0).cast("bigint").alias("grp"), F.col("grp").alias("pos"), "node", F.lit(sources.count()).cast("bigint").alias("total"))
+    across = _layers(tops, height, "merkle-subroots")
     last = across[-1].first()
     root = last["node"] if last else None
 
