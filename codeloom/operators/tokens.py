@@ -20,8 +20,8 @@ CODE_TOKENS = ["<|code|>", "<|comment|>", "<|function|>", "<|class|>"]
 TRAINING_CODE_TOKENS = CODE_TOKENS + ["<|variable|>", "<|import|>", "<|return|>", "<|if|>", "<|for|>", "<|while|>"]
 MAX_LENGTH = 512
 
-# A word, or any other visible character; markers stay whole.
-TOKEN = r"<\|[a-z]+\|>|\w+|[^\w\s]"
+# A word (letters and digits of any script, and underscores), or any other visible character; markers stay whole.
+TOKEN = rf"<\|[a-z]+\|>|{tx.WORD}+|[^\p{{L}}\p{{N}}_{tx.BLANK}]"
 HOT_TOKENS = 500_000
 
 
