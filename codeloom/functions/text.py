@@ -48,6 +48,7 @@ LANGUAGE_KEYWORDS = {
 # Corpus limits.
 MIN_LINES, MAX_LINES, MAX_CHARS = 5, 512, 1024 * 1024
 MIN_QUALITY = 0.3
+MIN_COMPLEXITY = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -69,6 +69,11 @@ def filter_quality(files: DataFrame, min_quality: float = tx.MIN_QUALITY) -> Dat
     return candidates.filter(without | F.coalesce(syntax_valid(text, when=~without), F.lit(False))).drop("_flags")
 
 
+def filter_complexity(files: DataFrame, min_score: float = tx.MIN_COMPLEXITY) -> DataFrame:
+    """Files whose shape score reaches ``min_score``; a NULL text has no score and goes."""
+    return files.filter(tx.complexity(F.col("text"))["complexity_score"] >= min_score)
+
+
 def filter_code(files: DataFrame, min_quality: float = tx.MIN_QUALITY, **bounds: int) -> DataFrame:
     """The whole corpus filter on (text, language): cheap conditions first."""
     text = F.col("text")

@@ -117,14 +117,16 @@ def quality_score(spark, sf_dir):
     return corpus.with_quality(code_files(spark, sf_dir)).select("doc_id", "points", "quality_score")
 
 
-@query(
-    f"""{FILES_CTE}, parts AS (SELECT doc_id, length(text) AS n_chars, {N_LINES_SQL} AS n_lines,
+SCORED_CTE = f"""{FILES_CTE}, parts AS (SELECT doc_id, length(text) AS n_chars, {N_LINES_SQL} AS n_lines,
         contains(text, 'def ') AS f, contains(text, 'class ') AS c,
         contains(text, 'import ') OR contains(text, 'from ') AS i,
         contains(text, '\"\"\"') OR contains(text, '''''''') AS d, contains(text, '#') AS h,
         length(regexp_replace(text, '[^(){{}}\\[\\]]', '', 'g')) AS n FROM files),
-      scored AS (SELECT *, 2 * f::int + 3 * c::int + i::int + 2 * d::int + h::int + least(n::double / 10, 5) AS s FROM parts)
-      SELECT doc_id, n_chars, n_lines, n AS syntax_elements, s AS complexity_score,
+      scored AS (SELECT *, 2 * f::int + 3 * c::int + i::int + 2 * d::int + h::int + least(n::double / 10, 5) AS s FROM parts)"""
+
+
+@query(
+    f"""{SCORED_CTE} SELECT doc_id, n_chars, n_lines, n AS syntax_elements, s AS complexity_score,
         CASE WHEN s >= 8 THEN 'excellent' WHEN s >= 5 THEN 'good' WHEN s >= 3 THEN 'fair' ELSE 'basic' END AS quality_rating
       FROM scored"""
 )
@@ -134,6 +136,12 @@ def complexity_rating(spark, sf_dir):
     return code_files(spark, sf_dir).select("doc_id", *[parts[name].alias(name) for name in names])
 
 
+@query(f"{SCORED_CTE} SELECT doc_id FROM scored WHERE s >= 2")
+def filter_complexity(spark, sf_dir):
+    """Code files that reach the declared least complexity score."""
+    return corpus.filter_complexity(code_files(spark, sf_dir)).select("doc_id")
+
+
 @query(f"SELECT doc_id FROM documents WHERE {N_LINES_SQL} BETWEEN 5 AND 512 AND length(text) <= 1048576")
 def filter_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(corpus.length_ok(F.col("text"))).select("doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
+from codeloom.operators import neighbours as nb
 from codeloom.operators import retrieval as rt
 from codeloom.operators import segments as sg
 from codeloom.plans.registry import query
@@ -56,6 +57,32 @@ def knn_l2_topk(spark, sf_dir):
     return near.select("query_key", "key", "rank", F.round("score", 6).alias("score"))
 
 
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+
+
+@query(
+    f"""WITH vec AS (SELECT vec_id AS key, CAST(embedding AS double[]) AS v FROM embeddings), near AS ({nearest_sql('vec', 'vec', 5)})
+      SELECT query_key, key, rank, round(score, 6) AS score FROM near"""
+)
+def knn_pivot_index(spark, sf_dir):
+    """As ``knn_l2_topk``, by the search for many queries."""
+    near = nb.nearest(nb.build(vectors(spark, sf_dir)), vectors(spark, sf_dir).withColumnRenamed("key", "query_key"), k=5)
+    return near.select("query_key", "key", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH vec AS (SELECT vec_id AS key, CAST(embedding AS double[]) AS v FROM embeddings)
+      SELECT query_key, key, round(score, 6) AS score FROM (SELECT q.key AS query_key, v.key AS key,
+        round(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (v.v[i] - q.v[i]) ** 2)), 9) AS score FROM vec v, vec q)
+      WHERE score <= {nb.max_distance()}"""
+)
+def knn_threshold(spark, sf_dir):
+    """All pairs of vectors at least as similar as declared."""
+    near = nb.within(nb.build(vectors(spark, sf_dir)), vectors(spark, sf_dir).withColumnRenamed("key", "query_key"), nb.max_distance())
+    return near.select("query_key", "key", F.round("score", 6).alias("score"))
+
+
 def keyed_chunks(pieces):
     return pieces.select(
         F.concat_ws(":", "doc_id", "start").alias("key"),
@@ -90,6 +117,19 @@ def retrieve_chunks(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH chunks AS (SELECT concat(doc_id, ':', s) AS key, t AS text FROM ({windows_sql('documents')})),
+      vec AS {vectors_sql('chunks', 'key')}, qvec AS {vectors_sql('benchmark', 'item_id')}
+      SELECT q.key AS query_key, v.key AS key, round(round(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (v.v[i] - q.v[i]) ** 2)), 9), 6) AS score FROM vec v, qvec q
+      WHERE round(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (v.v[i] - q.v[i]) ** 2)), 9) <= {nb.max_distance()}"""
+)
+def retrieve_similar_chunks(spark, sf_dir):
+    """Every chunk at least as similar to a benchmark item as declared, however many there are."""
+    queries = rt.embed_text(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_key"), "text"), dims=DIMS)
+    near = nb.within(nb.build(index(spark, sf_dir)), queries, nb.max_distance())
+    return near.select("query_key", "key", F.round("score", 6).alias("score"))
+
+
 @query(
     f"""{FOUND_CTE} SELECT item_id, md5(concat('# Relevant context from project:', chr(10),
         coalesce(string_agg(found.text, chr(10) || chr(10) ORDER BY rank), ''),
