@@ -21,6 +21,7 @@ from codeloom.plans.views import K_SQL, as_instants, as_replies, as_requests
 from codeloom.schemas import DOCUMENT, EVENT
 from codeloom.session import shared_dir
 from codeloom.streaming import messages as ms
+from codeloom.streaming import state as st
 
 
 def file_stream(spark, sf_dir, name, schema) -> DataFrame:
@@ -147,6 +148,53 @@ def heartbeat_windows(spark, sf_dir):
     return ms.drain(beats, "heartbeats", end).select("user_id", micros("window_start").alias("window_start"), "n_messages", "n_pings", "idle")
 
 
+EVENT_KIND = "CASE event_type WHEN 'signup' THEN 'connect' WHEN 'error' THEN 'disconnect' WHEN 'click' THEN 'received' ELSE 'sent' END"
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, ts, event_id, {EVENT_KIND} AS kind FROM events),
+      part AS (SELECT *, count(*) FILTER (kind = 'connect') OVER w AS seg, lag(ts) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      marked AS (SELECT *, row_number() OVER w AS rn, kind <> 'connect' AND ts - before >= INTERVAL 6 HOUR AS idled, kind = 'disconnect' AS left_off FROM part WHERE seg > 0
+        WINDOW w AS (PARTITION BY user_id, seg ORDER BY ts, event_id)),
+      stopped AS (SELECT *, coalesce(min(rn) FILTER (idled OR left_off) OVER (PARTITION BY user_id, seg), 9223372036854775807) AS stop FROM marked),
+      summed AS (SELECT user_id, seg, min(ts) AS since, max(ts) FILTER (rn < stop) AS last, count(*) FILTER (rn < stop AND kind = 'sent') AS messages_sent,
+        count(*) FILTER (rn < stop AND kind = 'received') AS messages_received, bool_or(rn = stop AND left_off AND NOT idled) AS ended, max(ts) FILTER (rn = stop) AS stop_at, bool_or(rn = stop) AS stops
+        FROM stopped GROUP BY user_id, seg),
+      closed AS (SELECT *, lead(since) OVER (PARTITION BY user_id ORDER BY seg) AS following FROM summed)
+      SELECT user_id, epoch_us(since) AS connected_at,
+        epoch_us(CASE WHEN ended THEN stop_at WHEN NOT stops AND following - last < INTERVAL 6 HOUR THEN following ELSE last + INTERVAL 6 HOUR END) AS closed_at, messages_sent, messages_received,
+        CASE WHEN ended THEN 'disconnect' WHEN NOT stops AND following - last < INTERVAL 6 HOUR THEN 'replaced' ELSE 'idle' END AS reason FROM closed"""
+)
+def stream_connections(spark, sf_dir):
+    """Connections that a signup opens and an error ends; given up after six hours, as events lie minutes apart."""
+    stream, end = events_with_end(spark, sf_dir)
+    kept = st.connections(stream(), F.expr(EVENT_KIND), F.col("event_id"), idle_seconds=6 * 3600)
+    return ms.drain(kept, "connections", end, st.ROCKSDB)
+
+
+@query(
+    """WITH seen AS (SELECT user_id, epoch_us(ts) // 30000000 AS w, count(*) AS n, count(*) FILTER (event_type = 'signup') AS p FROM events GROUP BY ALL),
+      following AS (SELECT *, least(3, coalesce(lead(w) OVER (PARTITION BY user_id ORDER BY w) - w - 1, 3)) AS gap FROM seen),
+      silence AS (SELECT user_id, w, unnest(range(1, gap + 1)) AS k FROM following)
+      SELECT user_id, w * 30000000 AS window_start, n AS n_messages, p AS n_pings, p = 0 AS idle, false AS silent, false AS gone FROM seen
+      UNION ALL SELECT user_id, (w + k) * 30000000, 0, 0, true, true, k = 3 FROM silence"""
+)
+def silent_windows(spark, sf_dir):
+    """Ping intervals of every user, those in which nothing came too, until the user counts as gone."""
+    stream, end = events_with_end(spark, sf_dir)
+    return ms.drain(st.silent_windows(stream(), F.col("event_type") == "signup"), "silence", end, st.ROCKSDB)
+
+
+@query(
+    f"""{MATCH_CTE} SELECT reply_id, request_id AS reply_to, type AS reply_type,
+        CASE WHEN reply_id IN (SELECT reply_id FROM settled) THEN 'settled' WHEN reply_id IN (SELECT reply_id FROM pairs) THEN 'spare' ELSE 'unasked' END AS status FROM rep"""
+)
+def stream_reply_accounts(spark, sf_dir):
+    stream, end = events_with_end(spark, sf_dir)
+    told = ms.account_replies(as_requests(stream()), as_replies(stream()))
+    return ms.drain(told, "replies", end)
+
+
 @query(f"SELECT concat(doc_id, ':', s) AS key, length(t) AS n_chars, {DIMS} AS dims FROM ({windows_sql('documents')})")
 def stream_index_append(spark, sf_dir):
     """Documents arrive as a stream, twice; the index holds every chunk once."""

@@ -6,7 +6,8 @@ batch as well as on a stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +25,30 @@ PING_SECONDS = 30
 DEBOUNCE = "150 milliseconds"
 
 
-def drain(stream: DataFrame, purpose: str, end: Callable[[], None] | None = None) -> DataFrame:
+def drain(stream: DataFrame, purpose: str, end: Callable[[], None] | None = None, conf: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """Runs a stream over what its source holds now, and gives the table it wrote.
 
     What the watermark has not passed stays in the state. ``end`` adds a row of a far
     later time to the source, after which the stream goes on from its checkpoint
-    and gives out the rest; that row itself stays behind.
+    and gives out the rest; that row itself stays behind. ``conf`` is set while the stream runs.
     """
     spark = stream.sparkSession
     folder = shared_dir(spark, purpose)
-    for add in (None,) if end is None else (None, end):
-        if add is not None:
-            add()
-        run = (
-            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
-            .option("path", f"{folder}/rows").trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        for add in (None,) if end is None else (None, end):
+            if add is not None:
+                add()
+            run = (
+                stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+                .option("path", f"{folder}/rows").trigger(availableNow=True).start()
+            )
+            run.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -151,6 +159,35 @@ def match_in_time(requests: DataFrame, replies: DataFrame, late: str = "10 secon
     )
 
 
+def account_replies(requests: DataFrame, replies: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Every reply with what became of it: (reply_id, reply_to, reply_type, status), once that is certain.
+
+    ``settled``: the earliest reply in its request's time. ``spare``: also in time, but not the earliest.
+    ``unasked``: no request waited for it, as there was none, or its time was over. Replies are joined to
+    requests twice, both times with bounds on both sides, so that no state is held for longer than the longest
+    time limit: from the requests' side to order the replies of one request, and from the replies' side to find
+    those that meet none.
+    """
+    longest = F.expr("INTERVAL 15 SECONDS")
+
+    def sides() -> tuple[DataFrame, DataFrame, Column]:
+        sent = requests.select("request_id", F.col("type").alias("request_type"), F.col("ts").alias("sent")).withWatermark("sent", late)
+        got = replies.select(F.col("request_id").alias("reply_to"), "reply_id", F.col("type").alias("reply_type"), F.col("ts").alias("replied")).withWatermark("replied", late)
+        bounded = (F.col("replied") >= F.col("sent")) & (F.col("replied") <= F.col("sent") + longest)
+        return sent, got, (F.col("request_id") == F.col("reply_to")) & bounded & in_time(F.col("request_type"), F.col("sent"), F.col("replied"))
+
+    sent, got, matches = sides()
+    waited = F.sort_array(F.collect_list(F.struct("replied", "reply_id", "reply_type")))
+    asked = sent.join(got, matches).groupBy("request_id", "request_type", "sent").agg(waited.alias("_r"))
+    asked = asked.select("request_id", F.posexplode("_r").alias("_place", "_one"))
+    status = F.when(F.col("_place") == 0, "settled").otherwise("spare")
+    asked = asked.select("_one.reply_id", F.col("request_id").alias("reply_to"), "_one.reply_type", status.alias("status"))
+
+    sent, got, matches = sides()
+    stray = got.join(sent, matches, "left_outer").filter("request_id IS NULL")
+    return asked.unionByName(stray.select("reply_id", "reply_to", "reply_type", F.lit("unasked").alias("status")))
+
+
 def heartbeats(messages: DataFrame, ping: Column, seconds: int = PING_SECONDS, late: str = "1 minute") -> DataFrame:
     """Messages and pings per user and ping interval; no ping means idle."""
     return (
