@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The characters str.strip()/str.split() and the browser's
@@ -66,6 +67,21 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[name for name in df.columns if name not in columns], F.inline(F.array(values)))
 
 
+@contextmanager
+def last_key_counts(spark: SparkSession) -> Iterator[None]:
+    """In here, JSON objects that repeat a key are parsed with the key's last value, as Python's reader does.
+
+    Spark fixes the rule when an expression is resolved, so the plan keeps it.
+    """
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unnest(df: DataFrame, array: Column, *keep: Column | str, pos: str = "pos", item: str = "item") -> DataFrame:
     """One row per array item with its 0-based place; empty arrays give none.
 

@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codeloom.functions import text as tx
 from codeloom.functions.python_source import parses
-from codeloom.operators.ranking import first_n
+from codeloom.operators.ranking import first_n, running_totals
 from codeloom.sources.tables import saved
 
 
@@ -97,12 +96,17 @@ def limited_per_source(rows: DataFrame, source: str, order: str, limit: int, kee
     the running total over one row per source, so no global sort of rows.
     """
     read = first_n(rows, [source], [F.col(order)], limit, "_line").drop("_line").filter(keep)
+    return cap_in_order(read, source, order, limit)
+
+
+def cap_in_order(rows: DataFrame, source: str, order: str, limit: int) -> DataFrame:
+    """First ``limit`` rows over all sources, these in name order, the rows of one by ``order``."""
     # At most ``limit`` rows per source; written so that the input is read once.
-    kept = saved(first_n(read, [source], [F.col(order)], limit, "_place"), "limited")
-    totals = kept.groupBy(source).agg(F.count(F.lit(1)).alias("_kept"))
-    before = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
-    allowance = totals.select(source, (F.lit(limit) - F.coalesce(F.sum("_kept").over(before), F.lit(0))).alias("_room"))
-    return kept.join(allowance, source).filter(F.col("_place") <= F.col("_room")).drop("_place", "_room")
+    kept = saved(first_n(rows, [source], [F.col(order)], limit, "_place"), "limited")
+    totals = running_totals(kept.groupBy(source).agg(F.count(F.lit(1)).alias("_kept")), [source], "_kept", "_before")
+    allowance = totals.select(F.col(source).alias("_of"), (F.lit(limit) - F.col("_before")).alias("_room"))
+    allowed = kept.join(allowance, F.col(source).eqNullSafe(F.col("_of")))
+    return allowed.filter(F.col("_place") <= F.col("_room")).drop("_place", "_room", "_of")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

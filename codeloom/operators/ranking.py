@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.session import fits
+from codeloom.sources.tables import saved
+
 FAN = 64
+ONE_TASK = 100_000
 
 
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -77,6 +81,26 @@ def hash_split(df: DataFrame, id_col: str, train: int = 8, validation: int = 1,
     return df.withColumn("split", split)
 
 
+def running_totals(table: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each row, by ``order``, which must be total.
+
+    Up to ``ONE_TASK`` rows are one window. More are sorted by ranges and written; then only the ranges' sums are
+    one window.
+    """
+    def before(*by: str) -> Column:
+        window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+        return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if fits(table, ONE_TASK):
+        return table.withColumn(out, before())
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = saved(table.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(lower), F.lit(0)).alias("_lower"))
+    return ranges.join(F.broadcast(sums), "_range").withColumn(out, F.col("_lower") + before("_range")).drop("_range", "_lower")
+
+
 def dense_ids(counts: DataFrame, key: str, count: str, out: str) -> DataFrame:
     """0-based ids by falling count, then by hash of the key.
 

@@ -16,29 +16,29 @@ from codeloom.sources import files, tables
 
 
 def written_records(spark, sf_dir) -> str:
-    """Code files as JSONL: ``content`` or ``code``, with broken lines and non-texts between them."""
+    """All code files as JSONL: ``content`` or ``code``, with further lines of broken records and non-texts between them."""
     records = code_files(spark, sf_dir).select(
         F.concat(F.lit("doc_"), "doc_id").alias("id"), "path",
         F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("content"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("code"), "doc_id",
     )
-    good = F.to_json(F.struct("id", "path", "content", "code"))
-    line = (
+    bad = (
         F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit('{"id": "broken '), "doc_id"))
         .when(F.col("doc_id") % 10 == 7, F.concat(F.lit('{"id": "doc_'), "doc_id", F.lit('", "content": 7}')))
         .when(F.col("doc_id") % 20 == 3, F.to_json(F.struct("id", "path", F.lit(5).alias("content"), "code")))
         .when(F.col("doc_id") % 20 == 13, F.to_json(F.struct("id", F.array("doc_id").alias("path"), "content", "code")))
-        .when(F.col("doc_id") % 20 == 1, F.to_json(F.struct("id", "path", F.lit(0).alias("content"), "code")))
         .when(F.col("doc_id") % 10 == 5, F.concat(F.lit("["), "doc_id", F.lit("]")))
-        .otherwise(good)
     )
+    # An empty ``content`` before a filled ``code`` is as good as none.
+    good = F.when(F.col("doc_id") % 20 == 1, F.to_json(F.struct("id", "path", F.lit(0).alias("content"), "code"))).otherwise(F.to_json(F.struct("id", "path", "content", "code")))
     folder = shared_dir(spark, "records")
-    records.select(line.alias("value")).write.option("compression", "none").text(f"{folder}/raw.jsonl")
+    lines = records.select(F.explode(F.array_compact(F.array(good, bad))).alias("value"))
+    lines.write.option("compression", "none").text(f"{folder}/raw.jsonl")
     return folder
 
 
 @query(
     f"""{FILES_CTE} SELECT concat('doc_', doc_id) AS id, language, length(text) AS n_chars, CAST(NULL AS varchar) AS rejected FROM files
-        WHERE doc_id % 10 NOT IN (3, 5, 7, 9) AND {FILTER_SQL}
+        WHERE {FILTER_SQL}
       UNION ALL SELECT NULL, NULL, NULL, concat('{{"id": "broken ', doc_id) FROM documents WHERE doc_id % 10 = 9
       UNION ALL SELECT NULL, NULL, NULL, concat('[', doc_id, ']') FROM documents WHERE doc_id % 10 = 5"""
 )
@@ -55,7 +55,7 @@ TOKENS_LEN = "len(" + tokens_sql("concat('<|code|>', text, '<|endoftext|>')") +
 
 @query(
     f"""{FILES_CTE} SELECT language, count(*) AS n_rows, CAST(sum(least(512, {TOKENS_LEN})) AS bigint) AS n_tokens,
-        count(*) FILTER ({TOKENS_LEN} > 512) AS n_truncated FROM files WHERE doc_id % 10 NOT IN (3, 5, 7, 9) AND {FILTER_SQL} GROUP BY language"""
+        count(*) FILTER ({TOKENS_LEN} > 512) AS n_truncated FROM files WHERE {FILTER_SQL} GROUP BY language"""
 )
 def build_corpus_job(spark, sf_dir):
     """Raw JSONL to the written split set, summed up per language."""
@@ -106,3 +106,24 @@ def load_splits_checked(spark, sf_dir):
     tables.write_splits(ranking.ratio_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), folder)
     back = tables.read_splits(spark, folder, required=("doc_id", "text"))
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(tx.line_count(F.col("text"))).cast("bigint").alias("n_lines"))
+
+
+WORST = "worst"  # a source that cannot be read
+
+
+@query(
+    f"""SELECT lang AS source, count(*) AS n_rows, CAST(sum(length(text)) AS bigint) AS n_chars, count(*) AS n_read, false AS failed FROM documents GROUP BY lang
+      UNION ALL SELECT '{WORST}', NULL, NULL, 0, true"""
+)
+def manifest_written(spark, sf_dir):
+    """Documents written per language, with what the writes counted, what is read back, and the source that failed."""
+    docs = table(spark, sf_dir, "documents")
+    languages = [r.lang for r in docs.select("lang").distinct().collect()]
+    sources = {lang: docs.filter(F.col("lang") == lang).select("doc_id", "text") for lang in languages}
+    sources[WORST] = docs.select("doc_id", F.raise_error(F.lit("no such source")).cast("string").alias("text"))
+    folder = shared_dir(spark, "sources")
+    manifest = tables.write_sources(sources, folder)
+    paths = [f"{folder}/{lang}" for lang in languages]
+    back = spark.read.schema("doc_id bigint, text string").json(paths).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source")).agg(F.count(F.lit(1)).alias("n_read"))
+    told = manifest.join(back, "source", "left")
+    return told.select("source", "n_rows", "n_chars", F.coalesce("n_read", F.lit(0)).alias("n_read"), F.coalesce(F.contains("error", F.lit("no such source")), F.lit(False)).alias("failed"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schemas import SPLIT_COLUMNS
 from codeloom.session import fits, shared_dir
 
 BROADCAST_KEYS = 1_000_000
+MANIFEST = "source string, path string, n_rows bigint, n_chars bigint, error string"
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -53,10 +55,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table was already written to the path."""
+    """Whether a table was already written to the path; only a missing or empty folder counts as none."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
     return True
 
@@ -83,3 +87,23 @@ def metadata(kind: Column, name: Column, start: Column, end: Column, file: Colum
     return F.struct(
         kind.alias("type"), name.alias("name"), start.alias("start"), end.alias("end"), file.alias("file")
     )
+
+
+def write_sources(sources: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Writes each source as JSONL below ``folder``, and what was written as a manifest next to them.
+
+    The rows are counted by the write itself. A source that fails does not stop the others: its line has
+    the error, and no count. Gives the manifest, (source, path, n_rows, n_chars, error), as read back.
+    """
+    spark = next(iter(sources.values())).sparkSession
+    lines = []
+    for name, rows in sources.items():
+        path, seen = f"{folder}/{name}", Observation()
+        text = F.coalesce(F.sum(F.length("text")), F.lit(0)) if "text" in rows.columns else F.lit(None)
+        try:
+            rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), text.cast("bigint").alias("n_chars")).write.mode("overwrite").json(path)
+            lines.append((name, path, seen.get["n_rows"], seen.get["n_chars"], None))
+        except (PySparkException, Py4JJavaError) as error:
+            lines.append((name, path, None, None, str(error).strip().splitlines()[0]))
+    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
+    return spark.read.schema(MANIFEST).json(f"{folder}/_manifest")

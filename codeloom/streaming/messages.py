@@ -64,12 +64,15 @@ def drain_batches(stream: DataFrame, purpose: str, each: Callable[[DataFrame, in
 def route(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """Parses JSON messages and tells each where to go, with defaults filled in.
 
-    Routes: completion, chat, pong, error (unknown type), malformed.
+    Routes: completion, chat, pong, error (unknown type), malformed (no JSON object). A default
+    stands for a key that is absent; a key that is ``null`` stays NULL.
     """
-    parsed = tx.pinned(messages, _m=F.from_json(raw, COMPLETION_REQUEST), _ok=F.try_parse_json(raw).isNotNull())
+    with tx.last_key_counts(messages.sparkSession):
+        parsed = tx.pinned(messages, _m=F.from_json(raw, COMPLETION_REQUEST), _v=F.try_parse_json(raw))
+    parsed = tx.pinned(parsed, _ok=F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
     kind = F.col("_m.type")
     to = (
-        F.when(~F.col("_ok"), "malformed")
+        F.when(~F.coalesce("_ok", F.lit(False)), "malformed")
         .when(kind == "completion_request", "completion")
         .when(kind == "chat_request", "chat")
         .when(kind == "ping", "pong")
@@ -77,15 +80,20 @@ def route(messages: DataFrame, raw: str = "raw") -> DataFrame:
     )
     completion = to == "completion"
     keep = [name for name in messages.columns if name != raw]
+
+    def given(name: str, default: str | int) -> Column:
+        absent = F.try_variant_get("_v", f"$.{name}", "variant").isNull()
+        return F.when(absent, F.lit(default)).otherwise(F.col(f"_m.{name}"))
+
     return parsed.select(
         *keep,
         to.alias("route"),
         F.col("_m.request_id").alias("request_id"),
-        F.when(completion, F.coalesce("_m.code", F.lit(""))).alias("code"),
-        F.when(completion, F.coalesce("_m.language", F.lit(DEFAULT_LANGUAGE))).otherwise(F.col("_m.language")).alias("language"),
-        F.when(completion, F.coalesce("_m.max_suggestions", F.lit(DEFAULT_SUGGESTIONS))).alias("max_suggestions"),
+        F.when(completion, given("code", "")).alias("code"),
+        F.when(completion, given("language", DEFAULT_LANGUAGE)).otherwise(F.col("_m.language")).alias("language"),
+        F.when(completion, given("max_suggestions", DEFAULT_SUGGESTIONS)).alias("max_suggestions"),
         F.when(completion, F.col("_m.cursor_position")).alias("cursor_position"),
-        F.when(to == "chat", F.coalesce("_m.message", F.lit(""))).alias("message"),
+        F.when(to == "chat", given("message", "")).alias("message"),
         F.when(to == "chat", F.col("_m.code_context")).alias("code_context"),
         F.when(to == "error", F.concat(F.lit("Unknown message type: "), F.coalesce(kind, F.lit("None")))).alias("error"),
     )

@@ -31,6 +31,73 @@ def test_jsonl_scan(spark, tmp_path):
     assert sorted(r.rejected for r in rejected.collect()) == ["", '"text"', "[1]", "{broken"]
 
 
+def test_last_of_a_repeated_key_counts(spark):
+    lines = spark.createDataFrame([('{"content": "a", "content": "b", "id": "1"}',)], "value string")
+    row = files.parse_records(lines).first()
+    assert (row.content, row.id, row.rejected) == ("b", "1", None)
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+@pytest.mark.parametrize("limit", [None, 0, 1, 70, 5000])
+def test_lines_are_numbered_however_files_are_split(spark, tmp_path, limit):
+    (tmp_path / "b").mkdir()
+    for name, n in (("a.jsonl", 400), ("b/c.jsonl", 90), ("e.jsonl", 0)):
+        (tmp_path / name).write_text("".join(json.dumps({"id": f"{name}:{i}", "code": "x" * (i % 37)}) + "\n" for i in range(n)))
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.scan_jsonl(spark, str(tmp_path), numbered=True, limit=limit).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert all(r.id.endswith(f":{r.line}") and r.file.endswith(r.id.split(":")[0]) for r in rows)
+        assert len(rows) == sum(min(n, n if limit is None else limit) for n in (400, 90))
+
+
+def test_running_totals_over_ranges(spark, monkeypatch):
+    from codeloom.operators import ranking
+
+    rows = [(f"s{i % 50:02}", i, i % 7) for i in range(300)]
+    table = spark.createDataFrame(rows, "s string, i int, v int").repartition(5)
+    expected, total = {}, 0
+    for s, i, v in sorted(rows):
+        expected[i], total = total, total + v
+    for most in (1000, 0):
+        monkeypatch.setattr(ranking, "ONE_TASK", most)
+        found = ranking.running_totals(table, ["s", "i"], "v", "before").collect()
+        assert {r.i: r.before for r in found} == expected and found[0].asDict().keys() == {"s", "i", "v", "before"}
+
+
+def test_manifest_has_the_errors(spark, tmp_path):
+    good = spark.range(30).selectExpr("id", "concat('t', id) AS text").repartition(4)
+    bad = good.selectExpr("id", "CAST(raise_error('cannot be reached') AS string) AS text")
+    told = {r.source: r for r in tables.write_sources({"good": good, "bad": bad, "none": good.limit(0), "plain": good.select("id")}, str(tmp_path)).collect()}
+    assert (told["good"].n_rows, told["good"].n_chars, told["good"].error) == (30, 80, None)
+    assert told["bad"].n_rows is None and "cannot be reached" in told["bad"].error
+    assert (told["none"].n_rows, told["plain"].n_rows, told["plain"].n_chars) == (0, 30, None)
+    assert spark.read.json(f"{tmp_path}/good").count() == 30
+
+
+def test_files_that_are_not_read_are_listed(spark, tmp_path, monkeypatch):
+    (tmp_path / "long name.py").write_text("x" * 500)
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "skip.bin").write_text("y" * 900)
+    (tmp_path / "empty.py").write_text("")
+    assert files.rejected_files(spark, str(tmp_path)).collect() == []
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 100)
+    assert [r.path.rsplit("/", 1)[1] for r in files.scan_tree(spark, str(tmp_path)).filter("text <> ''").collect()] == ["a.py"]
+    gone = files.rejected_files(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.length, r.reason) for r in gone] == [("long name.py", 500, "longer than 100 bytes")]
+    assert files.present(spark, [str(tmp_path), f"{tmp_path}/none"]) == ([str(tmp_path)], [f"{tmp_path}/none"])
+
+
+def test_only_a_missing_table_counts_as_none(spark, tmp_path):
+    (tmp_path / "junk").mkdir()
+    assert not tables.exists(spark, f"{tmp_path}/none") and not tables.exists(spark, f"{tmp_path}/junk")
+    (tmp_path / "junk" / "a.parquet").write_text("no table")
+    with pytest.raises(Exception, match="a.parquet"):
+        tables.exists(spark, f"{tmp_path}/junk")
+
+
 def test_tree_scan(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
     (tmp_path / "sub dir" / "a+b.PY").write_bytes(b"x = 1\r\ny\xff = 2\r")
@@ -60,9 +127,14 @@ def test_jobs(spark, tmp_path):
     assert {r.language for r in built} == {"python"} and sorted(r.text for r in built) == sorted(code.format(i) for i in range(20))
     assert all(len(r.input_ids) == len(r.attention_mask) == r.token_count and not r.truncated for r in built)
 
+    capped = jobs.build_corpus(spark, str(raw), shared_dir(spark, "job"), limit=5).collect()
+    assert sorted(r.text for r in capped) == sorted(code.format(i) for i in range(5))
+    assert sorted(r.example_id.rsplit(":", 1)[1] for r in capped) == list("01234")
+
     (tree / "a.py").write_text(code.format(1))
     (tree / "b.md").write_text("# Title\n\nhow to start the server from the command line in a few steps\n")
-    index = jobs.build_index(spark, [str(tree)], shared_dir(spark, "job-index"))
+    with pytest.warns(UserWarning, match="none"):
+        index = jobs.build_index(spark, [str(tree), f"{tmp_path}/none"], shared_dir(spark, "job-index"))
     assert sorted((r.metadata.type, r.metadata.name) for r in index.collect()) == [("FunctionDef", "f_1"), ("doc", None)]
     asked = spark.createDataFrame([(1, "start the server", "x = 1")], "query_key int, text string, code string")
     context = jobs.contexts(index, asked, k=1).first().context
@@ -96,6 +168,14 @@ def test_routes(spark):
     ]
 
 
+def test_routes_of_nulls_and_other_json(spark):
+    raw = ['{"type": "completion_request", "code": null, "language": null, "max_suggestions": null}', '{"type": "chat_request", "message": null}', "[1]", "5", "null", '{"type": "ping", "type": "chat_request"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate([*raw, None])], "i int, raw string")
+    got = ms.route(df).orderBy("i").collect()
+    assert [r.route for r in got] == ["completion", "chat", "malformed", "malformed", "malformed", "chat", "malformed"]
+    assert (got[0].code, got[0].language, got[0].max_suggestions, got[1].message, got[5].message) == (None, None, None, None, "")
+
+
 EVENTS = [(1, at(0.0), "a"), (1, at(0.1), "b"), (1, at(1.0), "c"), (2, at(0.05), "d"), (9, at(900), "late")]
 
 
