@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ NARROW = 15
 SLOTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15))
 #: Bits of every narrow value.
 _WIDTH = np.repeat(np.arange(NARROW + 1, dtype=np.uint8), [1, *(1 << k for k in range(NARROW))])
-_MARK = np.isin(np.arange(256), np.frombuffer(b".,:;", np.uint8))
-MEMO_PIECES = 750_000  # pieces whose ids a worker remembers before it starts anew
+_PRINTED = (np.arange(256) > 32) & (np.arange(256) < 127)
+MEMO_PIECES = 750_000  # pieces whose ids a worker remembers: half of them since the last change of generation
 ROW_BYTES = 1 << 20
 JOINED_BYTES = 1 << 12
 AT_ONCE = 128  # texts given to the tokenizer in one call
@@ -110,13 +111,35 @@ def unpack(n: int, coded: np.ndarray, block_at: np.ndarray, escape_at: np.ndarra
     return out
 
 
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of those keys that are in a sorted run, and which these are."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[place] == keys
+    return place[hit], hit
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
 class Encoder:
     r"""The tokenizer, asked once for each piece of text.
 
-    A text is cut before every space that a letter follows, and before every ASCII
-    mark that follows a letter: byte-level rules that split words at ``' ?\\p{L}+'``
-    begin a token at either place, whatever stands around, so ids of the pieces put
-    together are the ids of the text.
+    A text is cut before every space that a letter (ASCII or Latin-1) follows, before every ASCII
+    mark or line end that follows an ASCII letter, and before a letter at the begin of a line if the line
+    before does not end in a blank: byte-level rules that split words at ``' ?\p{L}+'``
+    begin a token at these places, whatever stands around, so ids of the pieces put
+    together are the ids of the text. Apostrophes, and marks that occur in added tokens, cut nothing.
+
+    When half of ``MEMO_PIECES`` are known they become the older generation; of it, what
+    is met again is taken over without asking, and the rest is forgotten at the next change.
     """
 
     def __init__(self, path: str):
@@ -129,24 +152,55 @@ class Encoder:
         # A character of a byte-level token stands for a byte; added tokens are ASCII.
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        added = "".join(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = np.array([chr(c) in string.punctuation + "\n" and chr(c) not in added + "'" for c in range(256)])
+        self.older = (*_NONE, np.zeros(0, np.uint16))
         self.clear()
 
     def clear(self) -> None:
         """Known pieces in two sorted runs, the later one small: (hash, begin of its ids, number of ids)."""
-        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.known = [_NONE] * 2
         self.flat = [np.zeros(0, np.uint16)]
         self.n_flat = 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and number of ids of each piece; -1 for a new one."""
         begin, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for known, at, n in self.known:
-            if len(known):
-                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[place] == keys
-                begin[hit], size[hit] = at[place[hit]], n[place[hit]]
+        for known in self.known:
+            at, hit = _places(known[0], keys)
+            begin[hit], size[hit] = known[1][at], known[2][at]
         return begin, size
 
+    def turn(self) -> None:
+        """A new generation; what is known becomes the older one."""
+        to = np.searchsorted(self.known[0][0], self.known[1][0])
+        self.older = (*(np.insert(a, to, b) for a, b in zip(*self.known)), np.concatenate(self.flat))
+        self.clear()
+
+    def recall(self, keys: np.ndarray) -> np.ndarray:
+        """Takes over what the older generation knows of the pieces; says of which it does."""
+        known, begin, size, flat = self.older
+        at, hit = _places(known, keys)
+        if hit.any():
+            self.remember(keys[hit], flat[_ranges(begin[at], size[at])], size[at])
+        return hit
+
+    def remember(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray, order: np.ndarray | None = None) -> None:
+        """Adds pieces in the order of their hashes; ``order`` is that of their ids, if another."""
+        begin = self.n_flat + np.cumsum(size) - size
+        if order is not None:
+            placed = np.empty((2, len(keys)), np.int64)
+            placed[:, order] = begin, size
+            begin, size = placed
+        self.flat.append(ids.astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32))
+        self.n_flat += len(ids)
+        to = np.searchsorted(self.known[1][0], keys)
+        self.known[1] = tuple(np.insert(a, to, b.astype(a.dtype)) for a, b in zip(self.known[1], (keys, begin, size)))
+        if len(self.known[1][0]) * 8 > len(self.known[0][0]):
+            to = np.searchsorted(self.known[0][0], self.known[1][0])
+            self.known = [tuple(np.insert(a, to, b) for a, b in zip(*self.known)), tuple(a[:0] for a in self.known[1])]
+            self.flat = [np.concatenate(self.flat)]
+
     def ids_of(self, joined: list[bytes], alone: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, and how many are of each.
 
@@ -167,28 +221,22 @@ class Encoder:
         return ids, np.diff(np.append(0, np.searchsorted(reached, ends, "right")))
 
     def learn(self, keys: np.ndarray, pieces: list[bytes], joins: np.ndarray) -> None:
-        """Remembers the ids of new pieces, given in the order of their hashes."""
+        """Asks for the ids of new pieces, given in the order of their hashes, and remembers them."""
         order = np.argsort(~joins, kind="stable")
         n = int(joins.sum())
         ids, sizes = self.ids_of([pieces[i] for i in order[:n].tolist()], [pieces[i] for i in order[n:].tolist()])
-        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
-        begin[order], size[order] = self.n_flat + np.cumsum(sizes) - sizes, sizes
-        new = keys, begin, size
-        self.flat.append(ids.astype(np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32))
-        self.n_flat += len(ids)
-        to = np.searchsorted(self.known[1][0], keys)
-        self.known[1] = tuple(np.insert(a, to, b) for a, b in zip(self.known[1], new))
-        if len(self.known[1][0]) * 8 > len(self.known[0][0]):
-            to = np.searchsorted(self.known[0][0], self.known[1][0])
-            self.known = [tuple(np.insert(a, to, b) for a, b in zip(*self.known)), tuple(a[:0] for a in self.known[1])]
-            self.flat = [np.concatenate(self.flat)]
+        self.remember(keys, ids, sizes, order)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many are of each."""
         letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        # Also the first byte of a Latin-1 letter: all of that block are letters but for two signs.
+        begins = letter.copy()
+        begins[:-1] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         opens = np.zeros(len(data) + 1, bool)
-        opens[:-2] = (data[:-1] == 32) & letter[1:]
-        opens[1:-1] |= letter[:-1] & _MARK[data[1:]]
+        opens[:-2] = (data[:-1] == 32) & begins[1:]
+        opens[1:-1] |= letter[:-1] & self.marks[data[1:]]
+        opens[2:-1] |= _PRINTED[data[:-2]] & (data[1:-1] == 10) & begins[2:]
         # A space that ends its text has the next text's letter after it.
         last = bounds[1:-1] - 1
         last = last[last >= 0]
@@ -202,18 +250,20 @@ class Encoder:
         begin, _ = self.find(unique)
         new = np.flatnonzero(begin < 0)
         if len(new):
-            if sum(len(known) for known, _, _ in self.known) + len(new) > MEMO_PIECES:
-                self.clear()
+            if sum(len(known) for known, _, _ in self.known) + len(new) > MEMO_PIECES // 2:
+                self.turn()
                 new = np.arange(len(unique))
+            new = new[~self.recall(unique[new])]
+        if len(new):
             raw = data.tobytes()
             at = starts[seen[new]]
-            joins = (data[at] == 32) & letter[np.minimum(at + 1, len(data) - 1)] & (ends[seen[new]] > at + 1)
+            joins = (data[at] == 32) & begins[np.minimum(at + 1, len(data) - 1)] & (ends[seen[new]] > at + 1)
             self.learn(unique[new], [raw[a:b] for a, b in zip(at.tolist(), ends[seen[new]].tolist())], joins)
         begin, size = (x[back] for x in self.find(unique))
         total = np.cumsum(size)
         if len(self.flat) > 1:
             self.flat = [np.concatenate(self.flat)]
-        ids = self.flat[0][np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        ids = self.flat[0][_ranges(begin, size)]
         edges = np.append(0, total)[np.searchsorted(starts, bounds)]
         return ids, np.diff(edges)
 
