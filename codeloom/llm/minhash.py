@@ -240,10 +240,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents less all but one of each group; columns as they come.
 
-    Rows that share a doc_id are copies of one document: one stays.
+    Rows that share a doc_id are one document, of which one row stays: that with the least digest of its
+    text, and of its columns if the texts are equal, so that reruns agree. Rows without id, text or words
+    are linked with nothing and stay, NULL ids all of them.
     """
     found = near_duplicates(docs, size, percent)
     gone = saved(found.filter("NOT kept").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.filter("doc_id IS NULL"))
+    if repeated.isEmpty():
+        return left
+    order = F.struct(F.sha2(w.text_of(docs).cast("binary"), 256).alias("t"), F.xxhash64(*docs.columns).alias("r"))
+    chosen = left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return chosen.select("_row.*").union(left.filter("doc_id IS NULL"))

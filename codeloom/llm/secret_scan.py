@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import rows, words as w
+from codeloom.sources.tables import saved
 
 KINDS = ("assign", "access", "hex", "network")
 #: Fixed patterns of the base findings, and the fewest characters of what counts.
@@ -235,15 +236,16 @@ def _labelled_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         views.append(view(around, 0, len(around), a - low, a - low + len(made)))
                         found.append((o, a, b, 0))
                 yield pa.RecordBatch.from_pydict({"label": pa.array([f[3] for f in found], pa.int32()), "view": pa.array([v.tobytes() for v in views], pa.binary())})
+    w.release()
 
 
 def own_findings(docs: DataFrame, most: int = MOST) -> tuple[list[np.ndarray], np.ndarray]:
     """Views and labels of findings in the ``most`` documents of least hash of their id."""
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most).distinct()
     texts = docs.select("doc_id", w.text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")
-    found = texts.mapInArrow(_labelled_views, "label int, view binary")
+    found = saved(texts.mapInArrow(_labelled_views, "label int, view binary").distinct(), "labelled-views")
     # At most ``most`` views of either label, those of least digest.
-    parts = [found.filter(F.col("label") == k).distinct().orderBy(F.md5("view"), "view").limit(most // 4).collect() for k in (1, 0)]
+    parts = [found.filter(F.col("label") == k).orderBy(F.md5("view"), "view").limit(most // 4).collect() for k in (1, 0)]
     got = sorted((r for part in parts for r in part), key=lambda r: bytes(r["view"])[::-1])
     views = [np.frombuffer(r["view"], np.uint8).reshape(-1, LENGTH) for r in got]
     return views, np.array([r["label"] for r in got], np.int64)

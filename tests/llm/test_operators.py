@@ -52,6 +52,7 @@ def test_near_duplicates(request, which, odd_rows, small_rows):
 def test_one_of_each_group_stays(odd, odd_rows):
     kept = minhash.one_of_each(odd, 2)
     assert kept.columns == odd.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, minhash.one_of_each(odd.repartition(2), 2).collect()))
     ids = [r.doc_id for r in kept.collect()]
     expected = {r[0] for r in brute.near(pairs(odd_rows), 2) if r[3] and r[0] is not None}
     assert sorted(i for i in ids if i is not None) == sorted(expected)
@@ -154,7 +155,9 @@ def test_repeated_vectors_are_one(spark):
     assert sorted(map(tuple, embeddings.near_vectors(frame).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 20, 0, 40])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [(5, 5)]
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert all(found[i] == 0 for i in range(301)) and all(found[1000 + i] == 1000 for i in range(200))
