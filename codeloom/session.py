@@ -58,5 +58,5 @@ def ship_package(spark: SparkSession) -> str:
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))
-    spark.addArtifacts(str(archive), pyfile=True)
+    spark.sparkContext.addPyFile(str(archive))
     return str(archive)
