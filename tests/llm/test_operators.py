@@ -184,6 +184,63 @@ def test_language(spark, odd, empty):
     assert {r[lang] for r in untrained.collect()} == {"und"}
 
 
+def test_language_profiles_against_plain_ones(spark, odd_rows):
+    """Predictions and scores as by vectors that are bound and summed run by run."""
+    import unicodedata
+
+    import numpy as np
+
+    def numbers(text):
+        out = []
+        for c in text:
+            counts = c.isalpha() or unicodedata.category(c)[0] == "M"
+            out.append(ord(c.lower()) if counts and len(c.lower()) == 1 else ord(c) if counts else 0)
+        return [n for i, n in enumerate(out) if n or not i or out[i - 1]]
+
+    def bundle(text):
+        n, total = numbers(text), np.zeros(language.DIMENSIONS)
+        for a, b, c in zip(n, n[1:], n[2:]):
+            if b:
+                va, vb, vc = language.letter_vectors(np.array([a, b, c]))
+                total += np.roll(va, 2) * np.roll(vb, 1) * vc
+        return total
+
+    given = [(t[:400], lang) for _, t, lang, *_ in odd_rows if t] + [("Привет, как дела сегодня", "ru"), ("Καλημέρα σας κόσμε", "el"), ("नमस्ते दुनिया कैसे हो", "hi"), ("你好世界你好", "zh"), (None, "ru"), ("abc", None)]
+    model = language.prototypes(spark.createDataFrame(given, "text string, lang string").repartition(3))
+    profile = {}
+    for text, lang in given:
+        if text and lang:
+            profile[lang] = profile.get(lang, 0) + bundle(text)
+    probe = [t for t, _ in given] + ["как хорошо", "καλη μερα", "दुनिया", "世界你好", "Straße — …", "12 34", "", "é"]
+    found = language.predict(spark.createDataFrame([(i, t) for i, t in enumerate(probe)], "i int, text string"), model)[0].collect()
+    for r in found:
+        x = bundle(r.text or "")
+        cosine = {k: float(x @ v / np.linalg.norm(v) / (np.linalg.norm(x) or 1)) for k, v in profile.items()}
+        if any(c.isalpha() for c in r.text or ""):
+            assert abs(r.score - max(0, max(cosine.values()))) < 1e-4 and cosine[r.lang_pred] > max(cosine.values()) - 1e-4
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    assert [r.lang_pred for r in found[-8:-4]] == ["ru", "el", "hi", "zh"]
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """1101 languages, in one block and in several, give the same answers."""
+    import random
+
+    draw = random.Random(8)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)]
+    texts = [" ".join("".join(draw.choice(letters) for _ in range(6)) for _ in range(8)) for _ in range(1101)]
+    docs = spark.createDataFrame([(i, t, f"l{i:04d}") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(4)
+    seen = []
+    for limit in (language.LANGUAGES, 300):
+        monkeypatch.setattr(language, "LANGUAGES", limit)
+        model = language.prototypes(docs)
+        assert model.languages == 1101 and model.blocks == (1 if limit > 1101 else 8)
+        seen.append(sorted(map(tuple, language.predict(docs, model)[0].collect())))
+    assert [r[:4] for r in seen[0]] == [r[:4] for r in seen[1]] and all(abs(a[4] - b[4]) < 1e-5 for a, b in zip(*seen))
+    assert all(lang == found for _, _, lang, found, _ in seen[0])
+
+
 @pytest.mark.parametrize("which", ["odd", "small", "empty"])
 def test_mixture(request, which):
     docs = request.getfixturevalue(which)
