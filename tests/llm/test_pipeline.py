@@ -39,3 +39,12 @@ def test_rows_without_id_are_mixed_like_others(spark):
     for source, share in (("a", 1 / 3), ("b", 2 / 3)):
         words = sum(n * len(text.split()) for (_, text, s), n in found.items() if s == source)
         assert abs(words - share * total) <= 4
+
+
+def test_texts_stay_where_no_language_is_given(spark, odd):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "слова", None), (3, "12 ..", None), (4, None, None), (None, "x", None)], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == ["some words", "x", "слова"]
+    named = corpus_pipeline.identify_language(spark, odd, "").collect()
+    assert sorted(map(str, named)) == sorted(str(r) for r in odd.collect() if any(c.isalpha() for c in r.text or ""))
