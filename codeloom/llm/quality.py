@@ -14,7 +14,7 @@ from codeloom.llm import pu
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, training: Column, label: str = "quality", most: int = pu.MOST) -> pu.Model | None:
-    return pu.learn(docs, labels, label, training, rate=True, use_shape=True, beyond=0.0, most=most)
+    return pu.learn(docs, labels, label, training, rate=True, use_shape=True, beyond=0.0, folds=2, pull=1e-4, most=most)
 
 
 def score_quality(docs: DataFrame, model: pu.Model | None, text: str = "text") -> tuple[DataFrame, list[str]]:

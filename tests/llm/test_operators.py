@@ -3,10 +3,11 @@
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, embeddings, graph, language, minhash, mixture, queries, quality, rows, secret_scan, substrings, token_ids, toxicity
+from codeloom.llm import decontaminate, embeddings, graph, language, minhash, mixture, pu, queries, quality, rows, secret_scan, substrings, token_ids, toxicity
 
 key = lambda r: tuple((x is not None, str(type(x)), x) for x in r)
 
@@ -293,6 +294,29 @@ def test_quality_and_toxicity(spark, odd, empty):
         assert {r._score for r in score(odd, None)[0].collect()} == {0.5}
 
 
+def test_prior_and_curve():
+    """The prior of a known mixture is found without a negative, and the curve tells the two kinds apart at it."""
+    rng = np.random.default_rng(5)
+    for prior in (0.1, 0.5, 0.85):
+        marks = rng.random(4000) < prior
+        p, u = rng.normal(4, 1, 3000), np.where(marks, rng.normal(4, 1, 4000), rng.normal(-2, 1, 4000))
+        found = pu.class_prior(p, u)
+        assert abs(found - prior) < 0.06
+        slope, shift = pu.curve(p, u, found)
+        assert ((slope * u + shift >= 0) == marks).mean() > 0.97
+
+
+@pytest.mark.parametrize("n_p, n_u", [(1, 1), (1, 3), (2, 1), (3, 5)])
+def test_few_texts(n_p, n_u):
+    """One positive or one unlabelled text is enough for a model; equal texts and empty ones do no harm."""
+    def text(number, *tokens):
+        return np.array(sorted(tokens), np.uint64), np.ones(len(tokens), np.int64), np.zeros(pu.N_SHAPE), number
+
+    positive = [text(i, *([7] if i else [])) for i in range(n_p)]
+    model, prior = pu.learned(positive, [text(n_p + i, 9) for i in range(n_u)], 4, rate=False, use_shape=True, beyond=0.0)
+    assert 0 < prior < 1 and np.isfinite([model.slope, model.shift]).all()
+
+
 @pytest.mark.parametrize("which", ["odd", "small", "empty"])
 def test_secrets(request, which):
     docs = request.getfixturevalue(which)
