@@ -9,7 +9,7 @@ Texts are packed into blocks of a few MB, written once. At each level a block
 sends every hash it has once, sorted and gap-coded, to the hash's bucket, and gets
 back one bit per hash: rows of a frequent passage are merged within a block before
 they are shuffled, and buckets are cut by hash, so none grows with a passage's
-frequency. The last level compares 64-bit hashes and smallest doc_ids.
+frequency. The last level compares hashes of 96 bits and smallest doc_ids.
 
 A window is removed if its words also start in a document with a smaller doc_id.
 NULL and empty texts have no words and come out empty. A NULL doc_id counts as
@@ -37,7 +37,7 @@ SHORTEST = 8
 LAST = np.iinfo(np.int64).max
 _GAP = 65535
 
-ASK = "bucket bigint, block bigint, n int, keys binary, docs binary"
+ASK = "bucket bigint, block bigint, n int, keys binary, marks binary, docs binary"
 
 
 def levels(min_words: int) -> list[int]:
@@ -142,11 +142,20 @@ class _Block:
         firsts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
         return order, firsts, found[firsts]
 
-    def smallest(self, at: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """As grouped, with the smallest doc_id of each hash."""
-        order, firsts, keys = self.grouped(hashed)
+    def smallest(self, at: np.ndarray, hashed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As grouped, by hash and mark, with the marks and the smallest doc_id of each group."""
+        marks = w.window_marks(self.hashed, at, size)
+        order, firsts = _both(hashed, marks)
         docs = self.ids[self.doc[at[order]]]
-        return order, firsts, keys, np.minimum.reduceat(docs, firsts) if len(firsts) else np.zeros(0, np.int64)
+        heads = order[firsts]
+        return order, firsts, hashed[heads], marks[heads], np.minimum.reduceat(docs, firsts) if len(firsts) else np.zeros(0, np.int64)
+
+
+def _both(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and mark (places rising), and the first of each pair."""
+    order = np.lexsort((marks, keys))
+    found, seen = keys[order], marks[order]
+    return order, np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (seen[1:] != seen[:-1]))) if len(order) else np.zeros(0, np.int64)
 
 
 def _bits(reply: list | None, n: int) -> np.ndarray:
@@ -199,10 +208,9 @@ def _smaller(table: pa.Table) -> pa.Table:
 
     def answer(keys, rows):
         docs = np.concatenate([_unplanes(x.as_py(), np.int64) for x in rows.column("docs")])
-        order = np.argsort(keys, kind="stable")
-        found = keys[order]
-        firsts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        least = np.repeat(np.minimum.reduceat(docs[order], firsts), np.diff(np.append(firsts, len(found))))
+        marks = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("marks")])
+        order, firsts = _both(keys, marks)
+        least = np.repeat(np.minimum.reduceat(docs[order], firsts), np.diff(np.append(firsts, len(order))))
         out = np.zeros(len(keys), bool)
         out[order] = least < docs[order]
         return out
@@ -245,13 +253,13 @@ def _asker(sizes: list[int], bits: int, bucket_bits: int, level: int, last: bool
                 block = _Block(row)
                 at, hashed = block.windows(sizes, bits, [row[f"r{k}"] for k in range(level)])
                 if last:
-                    _, _, keys, docs = block.smallest(at, hashed)
-                    made = [(b, s, e, _planes(keys[s:e]), _planes(docs[s:e])) for b, s, e in _pieces(keys, 64 - bucket_bits)]
+                    _, _, keys, marks, docs = block.smallest(at, hashed, sizes[-1])
+                    made = [(b, s, e, _planes(keys[s:e]), marks[s:e].tobytes(), _planes(docs[s:e])) for b, s, e in _pieces(keys, 64 - bucket_bits)]
                 else:
                     keys = np.unique(hashed >> np.uint64(64 - bits))
                     rest = bits - bucket_bits
                     low = np.uint64((1 << rest) - 1)
-                    made = [(b, s, e, pack_gaps(keys[s:e] & low), b"") for b, s, e in _pieces(keys, rest)]
+                    made = [(b, s, e, pack_gaps(keys[s:e] & low), b"", b"") for b, s, e in _pieces(keys, rest)]
                 if made:
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -259,7 +267,8 @@ def _asker(sizes: list[int], bits: int, bucket_bits: int, level: int, last: bool
                             "block": pa.array([row["block"]] * len(made), pa.int64()),
                             "n": pa.array([m[2] - m[1] for m in made], pa.int32()),
                             "keys": pa.array([m[3] for m in made], pa.binary()),
-                            "docs": pa.array([m[4] for m in made], pa.binary()),
+                            "marks": pa.array([m[4] for m in made], pa.binary()),
+                            "docs": pa.array([m[5] for m in made], pa.binary()),
                         }
                     )
 
@@ -278,7 +287,7 @@ def _finisher(sizes: list[int], bits: int):
 def _finished(row: dict, block: _Block, sizes: list[int], bits: int) -> pa.RecordBatch:
     top = len(sizes) - 1
     at, hashed = block.windows(sizes, bits, [row[f"r{k}"] for k in range(top)])
-    order, firsts, keys, least = block.smallest(at, hashed)
+    order, firsts, keys, _, least = block.smallest(at, hashed, sizes[-1])
     group = np.repeat(np.arange(len(keys)), np.diff(np.append(firsts, len(order))))
     gone = np.zeros(len(at), bool)
     gone[order] = _bits(row[f"r{top}"], len(keys))[group] | (block.ids[block.doc[at[order]]] > least[group])

@@ -114,6 +114,14 @@ def windows(word_hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     return at, mixed(found[at])
 
 
+def window_marks(word_hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """32 bits of the windows at some places, independent of the hashes that ``windows`` gives."""
+    found = np.zeros(len(at), np.uint64)
+    for step in range(size):
+        found = found * _LETTERS[0] + mixed(word_hashes[at + step])
+    return (mixed(found) >> np.uint64(32)).astype(np.uint32)
+
+
 def covered(n: int, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Which of ``n`` words a window that starts at one of the places covers."""
     change = np.zeros(n + 1, np.int64)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, embeddings, graph, language, minhash, mixture, pu, queries, quality, rows, secret_scan, substrings, token_ids, toxicity
+from codeloom.llm import decontaminate, embeddings, graph, language, minhash, mixture, pu, queries, quality, rows, secret_scan, substrings, token_ids, toxicity, words
 
 key = lambda r: tuple((x is not None, str(type(x)), x) for x in r)
 
@@ -294,6 +294,17 @@ def test_quality_and_toxicity(spark, odd, empty):
         assert {r._score for r in score(odd, None)[0].collect()} == {0.5}
 
 
+def test_marks_tell_windows_of_one_hash_apart():
+    """Windows that agree in the 64-bit hash alone are two groups; marks depend on the order of words, not on the place."""
+    words_ = np.arange(1, 40, dtype=np.uint64)
+    row = np.concatenate([words_, words_[::-1], words_])
+    marks = words.window_marks(row, np.array([0, 39, 78]), 13)
+    assert marks[0] == marks[2] != marks[1]
+    order, firsts = substrings._both(np.zeros(3, np.uint64), marks)
+    assert len(firsts) == 2 and sorted(order.tolist()) == [0, 1, 2]
+    assert len(substrings._both(np.zeros(0, np.uint64), np.zeros(0, np.uint32))[1]) == 0
+
+
 def test_prior_and_curve():
     """The prior of a known mixture is found without a negative, and the curve tells the two kinds apart at it."""
     rng = np.random.default_rng(5)
