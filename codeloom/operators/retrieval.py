@@ -14,6 +14,7 @@ from codeloom.functions.text import pinned
 from codeloom.operators.ranking import first_n
 from codeloom.operators.tokens import tokens
 from codeloom.session import fits
+from codeloom.sources.tables import saved
 
 BROADCAST_QUERIES = 16_384
 PACK_ROWS = 1024
@@ -70,57 +71,128 @@ def _packed(vectors: DataFrame, key: str, vector: str, prefix: str) -> DataFrame
     return vectors.select(key, vector).filter(F.col(vector).isNotNull()).mapInPandas(pack, schema)
 
 
-def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = found.sort_values(["query_key", "score", "key"], kind="stable")
-    return ordered.groupby("query_key", sort=False).head(k)
-
-
-def _candidates(v_keys, v_data: bytes, q_keys, q_data: bytes, k: int) -> pd.DataFrame:
-    """What one pack of vectors has to offer one pack of queries."""
-    vectors = np.frombuffer(v_data, dtype=np.float32).reshape(len(v_keys), -1).astype(np.float64)
-    queries = np.frombuffer(q_data, dtype=np.float32).reshape(len(q_keys), -1).astype(np.float64)
-    v_norms, q_norms = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
-    rough = q_norms[:, None] + v_norms[None, :] - 2.0 * (queries @ vectors.T)
-    # The product form is off by rounding only; whatever may belong to the best
-    # k is measured again from the differences.
-    slack = 1e-8 * (1.0 + v_norms.max() + q_norms.max())
-    top = min(k, len(v_keys))
-    limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
-    q_at, v_at = np.nonzero(rough <= limit[:, None])
-    exact = ((vectors[v_at] - queries[q_at]) ** 2).sum(axis=1)
-    return pd.DataFrame(
-        {
-            "query_key": np.asarray(q_keys, dtype=object)[q_at],
-            "key": np.asarray(v_keys, dtype=object)[v_at],
-            "score": np.round(exact, 9),
-        }
-    )
+def norms(rows: np.ndarray) -> np.ndarray:
+    return (rows.astype(np.float64) ** 2).sum(axis=1)
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances row by row, to nine places."""
+    return np.round(((a.astype(np.float64) - b) ** 2).sum(axis=1), 9)
+
+
+def slack(q_norms: np.ndarray, v_norms: np.ndarray) -> float:
+    """More than what rounding to 32 bits can take from a distance in product form."""
+    return 1e-5 * (1.0 + v_norms.max(initial=0.0) + q_norms.max(initial=0.0))
+
+
+def products(queries: np.ndarray, vectors: np.ndarray, v_norms: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances without the norms of the queries, and with ``more`` per query, by one product."""
+    more = np.zeros(len(queries)) if more is None else more
+    left = np.column_stack([-2.0 * queries, np.ones(len(queries)), more]).astype(np.float32)
+    return left @ np.column_stack([vectors, v_norms, np.ones(len(vectors))]).astype(np.float32).T
+
+
+def reached(queries: np.ndarray, q_norms: np.ndarray, vectors: np.ndarray, v_norms: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of a query and a vector whose squared distance may be within the query's ``limit``, and few others.
+
+    The product form is off by rounding only; callers measure these pairs again from the differences.
+    """
+    rest = np.maximum(q_norms - limit - slack(q_norms, v_norms), -1e30)  # a limit may be infinite
+    return np.divmod(np.flatnonzero(products(queries, vectors, v_norms, rest) <= 0), len(vectors))
+
+
+class Best:
+    """The best ``k`` vectors for each query of a pack, among those met so far.
+
+    ``limit`` is the squared distance beyond which a vector cannot belong to them; it falls
+    as vectors are met, so that most blocks are only multiplied and compared with it.
+    """
+
+    def __init__(self, q_keys, queries: np.ndarray, k: int, limit: np.ndarray | None = None):
+        self.k, self.queries, self.norms = k, queries, norms(queries)
+        self.codes, self.names = pd.factorize(_objects(q_keys))  # a key may come twice; a NULL has no place
+        self.limit = np.full(len(queries), np.inf) if limit is None else limit
+        self.held: list[pd.DataFrame] = []
+        self.size = self.cut_at = 0
+
+    def meet(self, v_keys, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Takes a block of vectors into account, for the queries ``rows`` alone if given."""
+        at = np.arange(len(self.queries)) if rows is None else rows
+        if not len(at) or not len(vectors):
+            return
+        v_norms = norms(vectors)
+        limit = self.limit[at]
+        if self.k < len(vectors) and len(free := np.flatnonzero(np.isinf(limit))):
+            rough = self.norms[at[free], None] + products(self.queries[at[free]], vectors, v_norms)
+            limit[free] = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack(self.norms[at], v_norms)
+        q_at, v_at = reached(self.queries[at], self.norms[at], vectors, v_norms, limit)
+        if not len(q_at):
+            return
+        scores = squared(vectors[v_at], self.queries[at[q_at]])
+        self.held.append(pd.DataFrame({"code": self.codes[at[q_at]], "key": _objects(v_keys)[v_at], "score": scores}))
+        self.size += len(q_at)
+        if self.size > self.cut_at:
+            self.cut()
+
+    def cut(self) -> None:
+        """Lets go of what is not among the best ``k``, and lowers the limit of queries that have ``k``."""
+        if not self.held:
+            return
+        found = pd.concat(self.held)
+        found = found[found["code"] >= 0].sort_values(["code", "score", "key"], kind="stable")
+        found = found.groupby("code", sort=False).head(self.k)
+        full = found.groupby("code")["score"].agg(["size", "max"])
+        full = full[full["size"] == self.k]
+        known = np.full(len(self.names) + 1, np.inf)
+        known[full.index.to_numpy()] = full["max"].to_numpy() + 1e-9  # scores are rounded to nine places
+        self.limit = np.minimum(self.limit, known[self.codes])
+        self.held, self.size = [found], len(found)
+        self.cut_at = 2 * self.size
+
+    def found(self) -> pd.DataFrame | None:
+        self.cut()
+        if not self.size:
+            return None
+        best = self.held[0]
+        return pd.DataFrame({"query_key": self.names[best["code"]], "key": best["key"].to_numpy(), "score": best["score"].to_numpy()})
+
+
+def _objects(values) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = list(values)
+    return out
+
+
+def _unpacked(keys, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a pack, without those that are not finite."""
+    rows = np.frombuffer(data, dtype=np.float32).reshape(len(keys), -1)
+    finite = np.isfinite(rows).all(axis=1)
+    return _objects(keys)[finite], rows[finite]
+
+
+def _filled(held: dict[int, Best]) -> Iterator[pd.DataFrame]:
+    return (found for best in held.values() if (found := best.found()) is not None)
 
 
 def _nearest_in_task(k: int):
     """Best ``k`` per query among the vectors of a task.
 
-    Candidates are cut back to ``k`` per query whenever ``HELD_ROWS`` have
-    gathered, and passed on early if that does not make room, so a task holds a
+    A pack of queries keeps about ``k`` rows per query, and all packs are passed on and
+    begun anew when ``HELD_ROWS`` have gathered, so a task holds a
     bounded number of rows however many vectors and queries it sees.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
+        held: dict[int, Best] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                held.append(_best(_candidates(row.v_keys, row.v_data, row.q_keys, row.q_data, k), k))
-                size += len(held[-1])
-                if size > HELD_ROWS:
-                    best = _best(pd.concat(held), k)
-                    if len(best) > HELD_ROWS // 2:
-                        yield best
-                        held, size = [], 0
-                    else:
-                        held, size = [best], len(best)
-        if held:
-            yield _best(pd.concat(held), k)
+                if row.q_no not in held:
+                    if sum(b.size for b in held.values()) > HELD_ROWS:
+                        yield from _filled(held)
+                        held.clear()
+                    held[row.q_no] = Best(*_unpacked(row.q_keys, row.q_data), k)
+                held[row.q_no].meet(*_unpacked(row.v_keys, row.v_data))
+        yield from _filled(held)
 
     return search
 
@@ -134,17 +206,16 @@ def nearest(
     Gives (query_key, key, score, rank); ties go to the smaller key. Both sides
     are packed into blocks; a block of vectors meets every block of queries, and a
     task passes on ``k`` rows per query, not the pairs. Up to ``broadcast_queries``
-    queries go to the vectors where they lie. Beyond that the blocks of vectors
-    are dealt to as many lanes as there are shuffle partitions, and the query
-    blocks copied to each lane, so that both sides are shuffled in even shares.
+    queries go to the vectors where they lie. Beyond that the blocks of both sides
+    are written once, and each task of a grid reads its share of either: neither side is
+    copied to the other by shuffle.
     """
     packs = _packed(vectors, key, vector, "v")
-    blocks = _packed(queries, query_key, vector, "q")
-    few = fits(queries.select(query_key), broadcast_queries)
-    lanes = 1 if few else int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packs.withColumn("lane", F.pmod(F.hash("v_keys"), F.lit(lanes)))
-    copied = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = dealt.join(F.broadcast(copied) if few else copied.hint("shuffle_hash"), "lane")
+    blocks = _packed(queries, query_key, vector, "q").withColumn("q_no", F.monotonically_increasing_id())
+    if fits(queries.select(query_key), broadcast_queries):
+        met = packs.crossJoin(F.broadcast(blocks))
+    else:
+        met = saved(blocks, "query-blocks").crossJoin(saved(packs, "vector-blocks").hint("shuffle_replicate_nl"))
     schema = T.StructType(
         [
             T.StructField("query_key", queries.schema[query_key].dataType),
@@ -152,7 +223,7 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    near = met.select("v_keys", "v_data", "q_keys", "q_data").mapInPandas(_nearest_in_task(k), schema)
+    near = met.select("q_no", "v_keys", "v_data", "q_keys", "q_data").mapInPandas(_nearest_in_task(k), schema)
     return first_n(near, ["query_key"], [F.col("score"), F.col("key")], k)
 
 

@@ -25,6 +25,19 @@ def test_nearest_against_brute_force(spark, monkeypatch, few):
     assert all(abs(r.score - exact[r.query_key, r.key]) < 1e-9 for r in got)
 
 
+def test_many_queries_are_not_copied_by_shuffle(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 4)))]
+    rows += [(900, [float("nan")] * 4)]  # hides no other vector of its block
+    v = spark.createDataFrame(rows, "key long, embedding array<float>").repartition(3)
+    near = rt.nearest(v, v.filter("key < 300").withColumnRenamed("key", "query_key"), k=2, broadcast_queries=10)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "CartesianProduct" in plan and exchanges and not [line for line in exchanges if "lane" in line or "_keys" in line]
+    got = near.collect()
+    assert len(got) == 600 and all(r.key == r.query_key and r.score == 0.0 for r in got if r.rank == 1)
+
+
 def test_fewer_vectors_than_asked_for(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "key long, embedding array<float>")
     q = spark.createDataFrame([(7, [0.0, 0.0])], "query_key long, embedding array<float>")
