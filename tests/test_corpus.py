@@ -127,3 +127,24 @@ def test_plans(spark):
     assert plan.index("length(text", python) > python
     split = ranking.ratio_split(spark.range(10), "id")
     assert "Exchange" not in split._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
+
+
+@pytest.mark.parametrize("hot", [3, 500_000])
+def test_tokens_are_looked_up_where_the_texts_lie(spark, monkeypatch, hot):
+    monkeypatch.setattr(tk, "HOT_TOKENS", hot)
+    texts = [(1, "a b c d a"), (2, None), (3, "e e f zz"), (None, "a g")]
+    df = spark.createDataFrame(texts, "id long, text string").withColumn("more", F.col("id") * 10).repartition(3)
+    words = tk.build_vocabulary(df.filter("text NOT LIKE '%zz%' OR text IS NULL")).localCheckpoint()
+    ids = {r.token: r.token_id for r in words.collect()}
+    coded = tk.encode(df, words, "id", keep=("more",))
+    got = {r.id: (r.input_ids, r.more) for r in coded.collect()}
+    for key, text in texts:
+        told = [tk.START, *(text or "").split(), tk.END]
+        assert got[key] == ([ids.get(t, ids[tk.UNK]) for t in told], key and key * 10)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert hot == 3 or ("MapInArrow" in plan and "explode(" not in plan and "HashAggregate" not in plan)
+    # A key that comes twice is one row, tokens place by place.
+    twice = spark.createDataFrame([(7, "a b"), (7, "a b"), (8, "a")], "id long, text string")
+    a, b, start, end = (ids[t] for t in ("a", "b", tk.START, tk.END))
+    got = {r.id: r.input_ids for r in tk.encode(twice, words, "id").collect()}
+    assert got == {7: [start, start, a, a, b, b, end, end], 8: [start, a, end]}
