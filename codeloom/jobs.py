@@ -28,7 +28,8 @@ def build_corpus(spark: SparkSession, raw_folder: str, out: str, max_length: int
     kept = tables.saved(kept.select(F.concat_ws(":", "file", "line").alias("example_id"), "text", "language"), "kept")
     tk.build_vocabulary(kept).write.mode("overwrite").parquet(f"{out}-vocabulary")
     vocabulary = spark.read.parquet(f"{out}-vocabulary")
-    examples = ranking.ratio_split(kept, "example_id").join(tk.encode(kept, vocabulary, "example_id", max_length=max_length), "example_id")
+    split = ranking.ratio_split(kept, "example_id")
+    examples = tk.encode(split, vocabulary, "example_id", max_length=max_length, keep=("text", "language", "split"))
     tables.write_splits(examples, out)
     return tables.read_splits(spark, out)
 

@@ -94,7 +94,7 @@ def sink_splits(spark, sf_dir):
     """Token ids of every document, written by split and read back."""
     ids, _ = encoded(spark, sf_dir)
     folder = shared_dir(spark, "splits")
-    tables.write_splits(ranking.ratio_split(ids, "doc_id"), folder)
+    tables.write_splits(ranking.ratio_split(tables.saved(ids, "encoded"), "doc_id"), folder)
     back = tables.read_splits(spark, folder)
     return back.select("doc_id", "split", md5_list("input_ids").alias("digest"), F.size("attention_mask").alias("n_real"))
 
