@@ -1,4 +1,4 @@
-"""Keyed state with event-time timers: connections with explicit ends, and users who fall silent.
+"""Connections with explicit ends, by keyed state with event-time timers, and users who fall silent, by windows.
 
 Rows of a key may come in any order and in any batches. They wait in the state until the
 watermark has passed them and are then taken in the order of their times, so that the result does
@@ -24,7 +24,6 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql
 
 CONNECT, DISCONNECT, SENT, RECEIVED = "connect", "disconnect", "sent", "received"
 CONNECTION = "user_id bigint, connected_at bigint, closed_at bigint, messages_sent bigint, messages_received bigint, reason string"
-WINDOW = "user_id bigint, window_start bigint, n_messages bigint, n_pings bigint, idle boolean, silent boolean, gone boolean"
 
 
 class _Connections(StatefulProcessor):
@@ -102,69 +101,32 @@ def connections(events: DataFrame, kind: Column, seq: Column, idle_seconds: floa
     return kept.groupBy("user_id").transformWithState(_Connections(round(idle_seconds * 1e6)), CONNECTION, "append", "EventTime")
 
 
-class _Silence(StatefulProcessor):
-    """Counts a user's messages per window, and gives out windows without any; times in microseconds."""
-
-    def __init__(self, width: int, gone_after: int):
-        self.width, self.gone_after = width, gone_after
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.next = handle.getValueState("next", "number bigint, silent int")
-        self.counts = handle.getMapState("counts", "number bigint", "n bigint, pings bigint")
-
-    def _wake(self, number: int) -> None:
-        self.handle.registerTimer(-(-(number + 1) * self.width // 1000))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new: dict[int, list[int]] = {}
-        for r in rows:
-            own = new.setdefault(r.at // self.width, [0, 0])
-            own[0] += 1
-            own[1] += bool(r.ping)
-        for number, (n, pings) in new.items():
-            if self.counts.containsKey((number,)):
-                had = self.counts.getValue((number,))
-                n, pings = n + had[0], pings + had[1]
-            self.counts.updateValue((number,), (n, pings))
-        self._wake(min(new))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = {k[0]: tuple(v) for k, v in self.counts.iterator()}
-        number, silent = self.next.get() if self.next.exists() else (None, 0)
-        out = []
-        while True:
-            if number is None:
-                if not held:
-                    break
-                number = min(held)
-            if (number + 1) * self.width > passed:
-                break
-            n, pings = held.pop(number, (0, 0))
-            if n:
-                self.counts.removeKey((number,))
-            silent = 0 if n else silent + 1
-            gone = silent == self.gone_after
-            out.append(Row(user_id=key[0], window_start=number * self.width, n_messages=n, n_pings=pings, idle=not pings, silent=not n, gone=gone))
-            number, silent = (None, 0) if gone else (number + 1, silent)
-        if number is None:
-            if self.next.exists():
-                self.next.clear()
-        else:
-            self.next.update((number, silent))
-            self._wake(number)
-        return iter(out)
-
-
 def silent_windows(messages: DataFrame, ping: Column, seconds: int = PING_SECONDS, gone_after: int = 3, late: str = "1 minute") -> DataFrame:
     """Messages and pings of each user in every ping interval, those without a message included.
 
     A user's windows start with a message and go on until ``gone_after`` windows in a row were silent: that
     row says ``gone``, and the user is watched again from the next message on. ``idle`` means no
-    ping, ``silent`` no message at all. Windows are given out by timers, so a user who sends nothing more still shows.
+    ping, ``silent`` no message at all. A window comes out when the watermark has passed it, so a user who sends nothing more still shows.
+
+    Both steps are Spark's own window aggregations: messages are counted per ping interval (a late row counts while
+    its interval is open), then each interval is seen by the ``gone_after`` + 1 sliding windows it lies in. A sliding window stands
+    for its last interval, and is silent for as long as the latest interval with messages lies back.
     """
-    rows = messages.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), ping.alias("ping"))
-    kept = rows.filter(F.col("user_id").isNotNull() & F.col("at").isNotNull())
-    return kept.groupBy("user_id").transformWithState(_Silence(seconds * 1_000_000, gone_after), WINDOW, "append", "EventTime")
+    width = seconds * 1_000_000
+    rows = messages.withWatermark("ts", late).select("user_id", "ts", ping.alias("ping"))
+    kept = rows.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    counted = kept.groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if("ping").alias("pings"))
+    seen = F.window(F.col("w"), f"{seconds * (gone_after + 1)} seconds", f"{seconds} seconds").alias("near")
+    last = F.max(F.struct(F.unix_micros("w.start").alias("start"), "n", "pings")).alias("last")
+    watched = counted.groupBy("user_id", seen).agg(last)
+    start = F.unix_micros("near.end") - width
+    silent = F.col("last.start") < start
+    return watched.select(
+        "user_id",
+        start.alias("window_start"),
+        F.when(silent, 0).otherwise(F.col("last.n")).cast("bigint").alias("n_messages"),
+        F.when(silent, 0).otherwise(F.col("last.pings")).cast("bigint").alias("n_pings"),
+        (silent | (F.col("last.pings") == 0)).alias("idle"),
+        silent.alias("silent"),
+        (start - F.col("last.start") == gone_after * width).alias("gone"),
+    )

@@ -111,6 +111,15 @@ def test_silent_windows_are_rows(spark, n_parts, gone_after):
     assert sorted(map(tuple, found)) == plain_silence(events, 30, gone_after)
 
 
+def test_silence_needs_no_keyed_state(spark):
+    """By windows alone: any state store does, and no row passes through Python."""
+    events = [(1, 5, True), (1, 70, False), (2, 10, False), (1, 400, True)]
+    parts = [[(u, at(t), p) for u, t, p in events], [(77, at(FAR), True)]]
+    silence = st.silent_windows(batches_of(spark, parts, "user_id bigint, ts timestamp, ping boolean"), F.col("ping"), gone_after=2)
+    found = ms.drain(silence, "silence").collect()
+    assert sorted(map(tuple, found)) == plain_silence(events, 30, 2)
+
+
 @pytest.mark.parametrize("n_parts", [1, 5])
 def test_every_reply_is_accounted_for(spark, n_parts):
     draw = random.Random(7)
