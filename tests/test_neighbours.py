@@ -70,3 +70,47 @@ def test_empty_tables_and_one_point(spark):
     assert nb.compared_share(nb.build(none), asked, 1.0).first().n_compared == 0
     with pytest.raises(ValueError):
         nb.within(nb.build(one), asked, -1.0)
+
+
+def shuffled_bytes(df):
+    """Rows it has, and bytes of the rows that its shuffles wrote."""
+    n, total, plans = len(df.collect()), 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            total += plan.metrics().apply("dataSize").value()
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "ResultQueryStageExec": "plan"}.get(name)
+        plans += [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    return n, total
+
+
+def test_queries_are_not_copied_to_the_buckets_they_reach(spark):
+    vectors = np.random.default_rng(4).normal(size=(2000, 64)).astype(np.float32)  # spread out: a query can reach most buckets
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "key long, embedding array<float>")
+    index, q = nb.build(v), v.withColumnRenamed("key", "query_key")
+    for found, rows in ((nb.within(index, q, 40.0), None), (nb.nearest(index, q, 2), 4000)):
+        n, total = shuffled_bytes(found)
+        assert rows in (None, n) and total < 10 * vectors.nbytes
+
+
+def test_small_packs_with_copies_and_repeated_keys(monkeypatch, spark):
+    for name, rows in (("PACK_ROWS", 64), ("BLOCK_ROWS", 16), ("LANE_ROWS", 100), ("MOST_PARTS", 5), ("SHARE_BYTES", 4096)):
+        monkeypatch.setattr(nb, name, rows)
+    vectors = clustered(5, 900, centres=5)
+    vectors[200:600] = vectors[200]  # more copies than a pack holds
+    keys = [2**53 + (7 * i) % 901 for i in range(len(vectors))]
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, vectors)], "key long, embedding array<float>").repartition(4)
+    asked = np.concatenate([vectors[190:215], clustered(6, 30, centres=5), vectors[3:5]])
+    names = [*(f"q{i}" for i in range(55)), "q1", "q1"]  # q1 three times
+    q = spark.createDataFrame([(k, x.tolist()) for k, x in zip(names, asked)], FIELDS.replace("key", "query_key"))
+    scores = np.round(((asked[:, None].astype(np.float64) - vectors[None].astype(np.float64)) ** 2).sum(axis=2), 9)
+    index, pool = nb.build(v), {}
+    for a, b in np.ndindex(scores.shape):
+        pool.setdefault(names[a], []).append((scores[a, b], keys[b]))
+    found = nb.nearest(index, q, 7).collect()
+    for name, pairs in pool.items():
+        assert sorted((r["rank"], r.score, r.key) for r in found if r.query_key == name) == [(i + 1, *p) for i, p in enumerate(sorted(pairs)[:7])]
+    close = sorted((r.query_key, r.score, r.key) for r in nb.within(index, q, 0.01).collect())
+    assert close == sorted((name, *p) for name, pairs in pool.items() for p in pairs if p[0] <= 0.01)
+    assert 0 < nb.compared_share(index, q, 0.0).first().share < 1
